@@ -39,6 +39,7 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: Of the literal map, at least; more for larger vocabularies.
 SLOTS = 1 << 17
 NONE = 2147483647
+SHIFT = 1 << 31
 DICTIONARY_BYTES = 48 << 20
 
 
@@ -97,34 +98,34 @@ class Vocabulary:
         return let(self._tables, lambda tables: let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), lambda text: self._fold(tables, text, let)))
 
     def _fold(self, tables: Column, text: Column, let) -> Column:  # noqa: ANN001
+        """The state is the places between pieces, each with the rank that joining there would give in its upper bits."""
+        either = lambda test, yes, no: F.call_function("if", test, yes, no)
+        place = lambda x: (x % F.lit(SHIFT)).cast("int")
+        size = F.length(text)
+
         def rank(piece: Column) -> Column:
             """The rank of a piece, NONE if the vocabulary lacks it."""
             one, two = (F.get(tables["s"], x) for x in self._places(piece))
-            return F.when(F.get(tables["p"], one) == piece, one).when(F.get(tables["p"], two) == piece, two).otherwise(F.lit(NONE))
-
-        def merge(acc: Column, best: Column) -> Column:
-            p, r = acc["p"], acc["r"]
-
-            def joined(i: Column) -> Column:
-                whole = F.concat(F.get(p, i - 1), F.get(p, i))
-                new_p = F.concat(F.slice(p, F.lit(1), i - 1), F.array(whole), F.slice(p, i + 2, F.size(p)))
-
-                def ranked(q: Column) -> Column:
-                    sides = F.transform(F.sequence(F.greatest(i - 1, F.lit(1)), F.least(i, F.size(q) - 1)), lambda j: rank(F.concat(F.get(q, j - 1), F.get(q, j))))
-                    new_r = F.when(F.size(q) == 1, F.array(F.lit(NONE))).otherwise(F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), sides, F.slice(r, i + 2, F.size(r))))
-                    return F.struct(q.alias("p"), new_r.alias("r"))
-
-                return let(new_p, ranked)
-
-            return let(F.array_position(r, best).cast("int"), joined)
-
-        size = F.length(text)
-        pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(text, i, F.lit(1)))
-        ranks = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substr(text, i, F.lit(2))))
-        step = lambda acc, _: let(F.array_min(acc["r"]), lambda best: F.when(best == NONE, acc).otherwise(merge(acc, best)))
-        folded = lambda: F.transform(F.aggregate(F.sequence(F.lit(2), size), F.struct(pieces.alias("p"), ranks.alias("r")), step)["p"], rank)
+            fits = lambda x: F.get(tables["p"], x).eqNullSafe(piece)
+            return let(one, lambda x: either(fits(x), x, let(two, lambda y: either(fits(y), y, F.lit(NONE)))))
+
+        def merge(state: Column, best: Column) -> Column:
+            def joined(rest: Column, i: Column) -> Column:
+                at = lambda j: either(j < 1, F.lit(0), either(j > F.size(rest), size, place(F.get(rest, j - 1))))
+                entry = lambda j: let(at(j - 1), lambda low: rank(F.substr(text, low + 1, at(j + 1) - low)).cast("long") * F.lit(SHIFT) + at(j))
+                sides = F.transform(F.sequence(F.greatest(i - 1, F.lit(1)), F.least(i, F.size(rest))), entry)
+                return F.concat(F.slice(rest, F.lit(1), F.greatest(i - 2, F.lit(0))), sides, F.slice(rest, i + 1, F.size(rest)))
+
+            whole = lambda i: let(F.array_remove(state, best), lambda rest: either(F.size(rest) == 0, rest, joined(rest, i)))
+            return let(F.array_position(state, best).cast("int"), whole)
+
+        start = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substr(text, i, F.lit(2))).cast("long") * F.lit(SHIFT) + i)
+        step = lambda state, _: let(F.array_min(state), lambda best: either(F.coalesce(best < NONE * SHIFT, F.lit(False)), merge(state, best), state))
+        cuts = lambda state: F.concat(F.array(F.lit(0)), F.transform(state, place), F.array(size))
+        ids = lambda at: F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda k: rank(F.substr(text, F.get(at, k - 1) + 1, F.get(at, k) - F.get(at, k - 1))))
+        folded = let(cuts(F.aggregate(F.sequence(F.lit(2), size), start, step)), ids)
         # a word that is a piece needs no merges
-        return let(rank(text), lambda own: F.when(own != NONE, F.array(own)).otherwise(folded()))
+        return let(rank(text), lambda own: either(own != NONE, F.array(own), folded))
 
     def decode(self, ids: Column) -> Column:
         """The text of an array of ids."""
@@ -165,6 +166,8 @@ def split_words(text: Column) -> Column:
 def encoded_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """(word, n, ids) of all distinct words of the corpus."""
     words = docs.select(F.explode(split_words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # merging is work for the CPU, not for the reader of few bytes: it is spread over all tasks
+    words = words.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return scratch(words.select("word", "n", vocabulary.fold(F.col("word")).alias("ids")), "words")
 
 
