@@ -4,7 +4,256 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from loomtext.functions import columns as C
+from loomtext.operators import documents as D
+from loomtext.operators import extract, rate
+from loomtext.sources import web
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+_CLEAN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+_FP = f"sha256({_CLEAN.format('lower(text)')})"
+_STOP = ", ".join(f"'{w}'" for w in C.STOPWORDS)
+_TOKENS = f"list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))"
+_TF = f"tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents), tf AS (SELECT doc_id, term, len(t) AS len, count(*) AS n FROM (SELECT doc_id, t, unnest(t) AS term FROM tok) GROUP BY ALL), total AS (SELECT count(*) AS total FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), idf AS (SELECT term, df, ln(total / df) AS idf FROM df, total)"
+_ARTICLE = r"regexp_extract(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<style.*?</style>', '', 'g'), '(?s)<nav.*?</nav>|<footer.*?</footer>', '', 'g'), '(?s)<div class=\"ad\">.*?</div>', '', 'g'), '(?s)<body>(.*)$', 1)"
+_TEXT = _CLEAN.format(f"replace(replace(replace(replace(replace(regexp_replace(regexp_replace({_ARTICLE}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&amp;', '&')")
+
+
+@_query(f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY {_FP} ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def dedup_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return D.dedup(_t(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "source")
+
+
+@_query(f"SELECT * FROM (SELECT doc_id AS duplicate, min(doc_id) OVER (PARTITION BY {_FP}) AS original FROM documents) WHERE duplicate <> original")
+def dup_map(spark: SparkSession, sf: str) -> DataFrame:
+    return D.duplicates(_t(spark, sf, "documents"))
+
+
+@_query(f"""WITH w AS (SELECT doc_id, string_split({_CLEAN.format('lower(text)')}, ' ') AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) END::BIGINT AS shingles FROM w""")
+def shingle_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", F.size(C.shingles(F.col("text"))).cast("long").alias("shingles"))
+
+
+@_query(f"SELECT doc_id, len({_TOKENS})::BIGINT AS n, array_to_string({_TOKENS}, ' ') AS terms FROM documents")
+def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
+    t = C.tokens(F.col("text"))
+    return _t(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("terms"))
+
+
+@_query(f"WITH {_TF} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
+def term_df(spark: SparkSession, sf: str) -> DataFrame:
+    return D.idf(_t(spark, sf, "documents")).withColumn("idf", F.round("idf", 6))
+
+
+@_query(f"WITH {_TF} SELECT doc_id, term, round(n / len * idf, 6) AS weight FROM tf JOIN idf USING (term)")
+def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents")
+    return D.tfidf(docs, D.idf(docs)).withColumn("weight", F.round("weight", 6))
+
+
+_QTOKENS = _TOKENS
+_SEARCH = f"""WITH {_TF}, w AS (SELECT doc_id, term, n / len * idf AS w FROM tf JOIN idf USING (term)),
+qt AS (SELECT item_id AS query_id, {_QTOKENS} AS t FROM benchmark), qf AS (SELECT query_id, term, len(t) AS len, count(*) AS n FROM (SELECT query_id, t, unnest(t) AS term FROM qt) GROUP BY ALL),
+q AS (SELECT query_id, term, n / len * idf AS q FROM qf JOIN idf USING (term)), nd AS (SELECT doc_id, sqrt(sum(w * w)) AS nd FROM w GROUP BY 1), nq AS (SELECT query_id, sqrt(sum(q * q)) AS nq FROM q GROUP BY 1),
+s AS (SELECT query_id, doc_id, round(sum(w * q) / any_value(nd * nq), 6) AS score FROM w JOIN q USING (term) JOIN nd USING (doc_id) JOIN nq USING (query_id) GROUP BY ALL)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 5"""
+
+
+@_query(_SEARCH)
+def search_multi(spark: SparkSession, sf: str) -> DataFrame:
+    """A top-k report: each benchmark text as a query over all documents."""
+    return D.search(_t(spark, sf, "documents"), _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+@_query("SELECT doc_id, trim(array_to_string(list_slice(regexp_extract_all(text, '[^.!?]+[.!?]+'), 1, 3), ' '), ' ') AS summary FROM documents")
+def summary3(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", C.first_sentences(F.col("text")).alias("summary"))
+
+
+@_query("""SELECT doc_id, used FROM (SELECT doc_id, sum(ceil(length(text) / 4.0)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM documents) WHERE used <= 8000""")
+def context_budget(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").select("doc_id", "source", C.estimated_tokens(F.col("text")).alias("tokens"))
+    return D.within_budget(docs, 8000, "source", "doc_id").select("doc_id", "used")
+
+
+@_query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens, substring(sha256(concat_ws(':', source, doc_id::VARCHAR, substring(text, 1, 64))), 1, 16) AS id FROM documents")
+def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", C.estimated_tokens(F.col("text")).alias("tokens"), C.chunk_id(F.col("source"), F.col("doc_id"), F.col("text")).alias("id"))
+
+
+@_query(f"SELECT page_id, {_TEXT} AS text FROM pages")
+def page_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _t(spark, sf, "pages")
+    return extract.extract(pages).select("url", "text").join(pages.select("page_id", "url"), "url").select("page_id", "text")
+
+
+@_query(r"""SELECT page_id, trim(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', chr(34)), '&amp;', '&')) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, 'blog-post' AS type FROM pages""")
+def page_fields(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _t(spark, sf, "pages")
+    return extract.extract(pages).select("url", "title", F.col("metadata.language").alias("lang"), F.col("metadata.type").alias("type")).join(pages.select("page_id", "url"), "url").select("page_id", "title", "lang", "type")
+
+
+@_query()
+def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.extract(_t(spark, sf, "pages")).select("url", "title", "markdown")
+
+
+@_query()
+def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    pages = D.dedup(extract.extract(_t(spark, sf, "pages")), "url", "text")
+    return D.chunk(pages)
+
+
+def _as_pages(spark: SparkSession, sf: str) -> DataFrame:
+    heads = F.array().cast("array<struct<level:int,text:string,id:string>>")
+    return _t(spark, sf, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.col("text").alias("markdown"), heads.alias("headings"))
+
+
+def _chunks(strategy: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return D.chunk(_as_pages(spark, sf), strategy)
+
+    QUERIES[f"chunk_{strategy}"] = run
+
+
+for _s in ("semantic", "heading", "paragraph", "fixed"):
+    _chunks(_s)
+
+
+def _exports(target: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return D.exported(D.chunk(_as_pages(spark, sf), "fixed"), target)
+
+    QUERIES[f"export_{target}"] = run
+
+
+for _s in ("pinecone", "chroma", "weaviate", "qdrant"):
+    _exports(_s)
+
+
+@_query("""SELECT doc_id, '<context source="' || source || '" tokens="' || ceil(length(text) / 4.0)::BIGINT || '">' || chr(10) || text || chr(10) || '</context>' AS rendered FROM documents""")
+def template_llm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents")
+    fields: dict[str, Column] = {"url": F.col("source"), "tokens": C.estimated_tokens(F.col("text")), "markdown": F.col("text")}
+    return D.render(docs, "llm", fields).select("doc_id", "rendered")
+
+
+@_query("SELECT page_id, (lower(url) LIKE '%.pdf' OR url LIKE '%/pdf/%' OR url LIKE '%application/pdf%') AS pdf, (url LIKE '%/en/%' OR url LIKE '%/fr/%') AND NOT url LIKE '%page=%' AS matched FROM pages")
+def url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    url = F.col("url")
+    return _t(spark, sf, "pages").select("page_id", C.is_pdf(url).alias("pdf"), C.url_matches(url, ["/en/", "/fr/"], ["page="]).alias("matched"))
+
+
+_FW = " ".join(f"WHEN contains(lower(text), '{f}') OR contains(source, '{f}') THEN '{f}'" for f in C.FRAMEWORKS)
+
+
+@_query(rf"SELECT doc_id, CASE {_FW} END AS framework, nullif(trim(regexp_extract(text, '(?i)(?:v|version\s*)(\d+\.\d+(?:\.\d+)?(?:-[\w.]+)?)', 0)), '') AS version FROM documents")
+def detectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", C.framework(F.col("text"), F.col("source")).alias("framework"), C.version(F.col("text")).alias("version"))
+
+
+@_query("SELECT event_id, user_id, date_diff('second', max(ts) OVER (PARTITION BY user_id), (SELECT max(ts) FROM events)) <= 3600 AS hit FROM events")
+def cache_ttl(spark: SparkSession, sf: str) -> DataFrame:
+    events = _t(spark, sf, "events").withColumn("url", F.col("user_id").cast("string"))
+    now = events.agg(F.max("ts").alias("now"))
+    stored = events.groupBy("url").agg(F.max("ts").alias("ts")).crossJoin(now).withColumn("url_key", F.md5("url"))
+    return D.cached(events.select("event_id", "user_id", "url"), stored, F.col("now")).select("event_id", "user_id", "hit")
+
+
+@_query("SELECT user_id, last, n FROM (SELECT user_id, last, row_number() OVER (ORDER BY last DESC, user_id)::INTEGER AS n FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY 1)) WHERE n <= 500")
+def cache_lru(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries that a cache of 500 keeps."""
+    last = _t(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last")).orderBy(F.desc("last"), "user_id").limit(500)
+    from pyspark.sql import Window
+
+    return last.withColumn("n", F.row_number().over(Window.orderBy(F.desc("last"), "user_id")))
+
+
+@_query("SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, count(*) FILTER (event_type = 'error')::BIGINT AS errors FROM events GROUP BY event_type")
+def metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+@_query()
+def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    events = _t(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return rate.token_bucket(events.select("id", "key", (F.col("us") / 1e6).alias("at")))
+
+
+_CRON = ("*/5 * * * *", "0 */2 * * *", "0 9 * * MON", "0 * * * *", "* * * * *", "0 9 1 * *", "5")
+
+
+@_query("SELECT * FROM (VALUES ('*/5 * * * *', 300::BIGINT), ('0 */2 * * *', 7200), ('0 9 * * MON', 86400), ('0 * * * *', 3600), ('* * * * *', 60), ('0 9 1 * *', 3600), ('5', 3600)) t(cron, seconds)")
+def cron_interval(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in _CRON], "cron string").withColumn("seconds", C.cron_seconds(F.col("cron")))
+
+
+@_query("SELECT 'https://github.com/o/r/tree/main/docs/a' AS url, 'o' AS owner, 'r' AS repo, 'main' AS branch, 'docs/a' AS path")
+def repo_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([("https://github.com/o/r/tree/main/docs/a",)], "url string").select("url", C.repo_parts(F.col("url")).alias("p")).select("url", "p.*")
+
+
+@_query(r"SELECT page_id, h.link AS dst FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: struct_pack(link := x))) AS h FROM pages)")
+def nav_links_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Links before noise is removed."""
+    return _t(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("dst"))
+
+
+@_query("""WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey * 100 AS src, n_nationkey AS dst FROM nation UNION SELECT DISTINCT n_nationkey, 1000 + s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey),
+r(node, depth) AS (SELECT 100, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 3) SELECT node::VARCHAR AS url, min(depth)::INTEGER AS depth FROM r GROUP BY node""")
+def bfs_levels(spark: SparkSession, sf: str) -> DataFrame:
+    nation, supplier = _t(spark, sf, "nation"), _t(spark, sf, "supplier")
+    one = nation.select((F.col("n_regionkey") * 100).cast("string").alias("src"), F.col("n_nationkey").cast("string").alias("dst"))
+    two = nation.join(supplier, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").cast("string").alias("src"), (F.col("s_suppkey") + 1000).cast("string").alias("dst"))
+    return D.crawl_levels(spark.createDataFrame([("100",)], "url string"), one.union(two).distinct(), 3)
+
+
+@_query(r"""SELECT url, sha256('# ' || url || chr(10) || '# ' || (page_id // 2)) <> sha256('# ' || url || chr(10) || '# ' || page_id) AS changed,
+list_filter(['' || url, '' || page_id], lambda h: h NOT IN (url, '' || page_id // 2)) AS added, list_filter([url, '' || page_id // 2], lambda h: h NOT IN (url, '' || page_id)) AS removed FROM pages""")
+def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _t(spark, sf, "pages")
+    text = lambda n: F.concat(F.lit("# "), F.col("url"), F.lit("\n# "), n.cast("string"))
+    return D.diff(pages.select("url", text(F.floor(F.col("page_id") / 2)).alias("markdown")), pages.select("url", text(F.col("page_id")).alias("markdown")))
+
+
+@_query("SELECT 'https://h/a' AS url, '2024-01-01' AS lastmod, NULL::VARCHAR AS changefreq, 0.8::DOUBLE AS priority UNION ALL SELECT 'https://h/b', NULL, 'daily', NULL")
+def sitemap(spark: SparkSession, sf: str) -> DataFrame:
+    xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://h/a</loc><lastmod>2024-01-01</lastmod><priority>0.8</priority></url><url><loc>https://h/b</loc><changefreq>daily</changefreq></url></urlset>'
+    index = "<sitemapindex><sitemap><loc>https://h/s.xml</loc></sitemap></sitemapindex>"
+    rows = spark.createDataFrame([("https://h/i.xml", index), ("https://h/s.xml", xml)], "url string, xml string")
+    return web.read_sitemaps(rows, "https://h/i.xml")
+
+
+@_query("SELECT * FROM (VALUES ('https://h/a', true), ('https://h/private/x', false), ('https://h/private/open/y', true)) t(url, allowed)")
+def robots(spark: SparkSession, sf: str) -> DataFrame:
+    rules = web.robots_rules(spark.createDataFrame([("https://h", "User-agent: *\nDisallow: /private\nAllow: /private/open # note")], "origin string, body string"))
+    return web.allowed(spark.createDataFrame([("https://h/a",), ("https://h/private/x",), ("https://h/private/open/y",)], "url string"), rules)
+
+
+@_query("SELECT 1 AS level, h AS text FROM (VALUES ('1. Intro'), ('INTRODUCTION')) t(h)")
+def pdf_headings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([("1. Intro\nINTRODUCTION\n1.2 Foo\nABC\nTHE END.",)], "text string")
+    return rows.select(F.explode(web.pdf_headings(F.col("text"))).alias("h")).select("h.level", "h.text")
+
