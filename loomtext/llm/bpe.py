@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtext.llm.words import slices
 from loomtext.runtime import scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -41,6 +42,8 @@ SLOTS = 1 << 17
 NONE = 2147483647
 SHIFT = 1 << 31
 DICTIONARY_BYTES = 48 << 20
+#: Text whose words are looked up at once.
+SLICE_BYTES = 4 << 20
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[str, int]:
@@ -185,7 +188,7 @@ def frequent(words: DataFrame, limit: int) -> DataFrame:
     return words.where(F.lit(False) if floor is None else band >= floor)
 
 
-def _encode_batches(table, ranks, schema: pa.Schema, out: str):  # noqa: ANN001
+def _encode_batches(table, ranks, schema: pa.Schema, text_col: str, out: str):  # noqa: ANN001
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +200,7 @@ def _encode_batches(table, ranks, schema: pa.Schema, out: str):  # noqa: ANN001
             state["ids"] = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
             state["ptr"] = ids.offsets.to_numpy().astype(np.int64) if len(ids) else np.zeros(1, np.int64)
             state["ptr"] = state["ptr"] - state["ptr"][0]
-        for batch in batches:
+        for batch in slices(batches, text_col, SLICE_BYTES):
             lists = batch.column("__words")
             coded = lists.flatten().dictionary_encode()
             words = coded.dictionary
@@ -234,7 +237,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out:
         stream.write_table(known)
     schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
     rows = docs.drop(out).withColumn("__words", split_words(F.col(text_col)))
-    run = _encode_batches(context.broadcast(sink.getvalue().to_pybytes()), context.broadcast(vocabulary.ranks), to_arrow_schema(schema), out)
+    run = _encode_batches(context.broadcast(sink.getvalue().to_pybytes()), context.broadcast(vocabulary.ranks), to_arrow_schema(schema), text_col, out)
     return rows.mapInArrow(run, schema)
 
 
