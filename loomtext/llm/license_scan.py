@@ -6,9 +6,10 @@
    position; votes are counted for each (document, template, diagonal).
 3. Diagonals at most ``drift`` apart whose matches lie near each other are one
    occurrence, so that added or dropped words do not split it.
-4. The words around an occurrence are compared with the template's by longest
-   common subsequence; it is reported if at least ``coverage`` of the template
-   is there in order and the span is not more than ``1 / coverage`` as long.
+4. All windows of the words around an occurrence are compared with the template
+   by longest common subsequence; those that have at least ``coverage`` of it in
+   order on at most ``1 / coverage`` as many words are found, of overlapping
+   ones the fullest, then the shortest.
 
 Result: (doc_id, template, start_word, end_word, votes, coverage), word offsets
 as in ``words``, ends exclusive.  Templates are a table (template, text); its
@@ -29,10 +30,13 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import seeds
 from loomtext.llm.words import kgrams, slices, tokenize
+from loomtext.runtime import scratch, table_bytes
 
 K = 3
 DRIFT = 4
 COVERAGE = 0.9
+#: k-grams of the templates that are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("apache-2.0-notice", "Licensed under the Apache License, Version 2.0"),
@@ -88,35 +92,60 @@ def _template_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([part.column("template"), pa.array(data, pa.binary())], names=["template", "model"])
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places in ``a`` of a longest common subsequence with ``b``: rows by numpy, so the longest texts do."""
-    table = np.zeros((len(b) + 1, len(a) + 1), np.int32)
-    for i, word in enumerate(b):
-        hit = np.where(a == word, table[i, :-1] + 1, 0)
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(hit, table[i, 1:]))
-    at, i, j = [], len(b), len(a)
-    while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            at.append(j)
-    return np.array(at[::-1], np.int64)
+def common_lengths(a: np.ndarray, b: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest common subsequences of ``b`` and all windows of ``a``.
+
+    Semi-local comparison by seaweed combing: strand v[j] ends at word j of
+    ``a``, and the window [s, e) has e - s common words less the strands that
+    both begin and end in it.  Cells of an anti-diagonal are independent.
+    Returned are, for each s, the length for the window of ``span`` words, and
+    where each strand begins.
+    """
+    m, n = len(b), len(a)
+    # rows are kept in reverse, so that an anti-diagonal is a slice of both sides
+    h, v, back = np.arange(m), np.arange(m, m + n), b[::-1]
+    for d in range(m + n - 1):
+        lo, hi = max(0, d - n + 1), min(m, d + 1)  # rows of the anti-diagonal; row i meets column d - i
+        x, y = slice(m - hi, m - lo), slice(d - hi + 1, d - lo + 1)
+        left, top = h[x], v[y]
+        swap = (back[x] == a[y]) | (left > top)
+        h[x], v[y] = np.where(swap, top, left), np.where(swap, left, top)
+    begin = v - m
+    size = np.minimum(span, n - np.arange(n))
+    inner = np.array([np.count_nonzero(begin[s : s + k] >= s) for s, k in enumerate(size.tolist())], np.int64)
+    return size - inner, begin
+
+
+def occurrences(a: np.ndarray, b: np.ndarray, coverage: float, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, common words) of the disjoint places of ``b`` in ``a`` that meet the words from low to high.
+
+    A place has at least ``coverage`` of b's words in order on at most
+    ``1 / coverage`` as many; the fullest and shortest come first.
+    """
+    span = int(len(b) / coverage + 1e-9)
+    length, begin = common_lengths(a, b, span)
+    found = []
+    for s in np.flatnonzero((length >= coverage * len(b) - 1e-9) & (np.arange(len(a)) < high)).tolist():
+        k = min(span, len(a) - s)
+        reached = np.arange(1, k + 1) - np.cumsum(begin[s : s + k] >= s)
+        e = s + 1 + int(np.searchsorted(reached, length[s]))
+        if e > low:
+            found.append((-int(length[s]), e - s, s))
+    taken: list[tuple[int, int]] = []
+    for n, size, s in sorted(found):
+        if all(s + size <= x or s >= y for x, y in taken):
+            taken.append((s, s + size))
+            yield s, s + size, -n
 
 
 def _verify_batches(coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, name, votes, lo, data, model in zip(*(batch[c].to_pylist() for c in ("doc_id", "template", "votes", "lo", "words", "model"))):
+            for doc, name, votes, lo, low, high, data, model in zip(*(batch[c].to_pylist() for c in ("doc_id", "template", "votes", "lo", "low", "high", "words", "model"))):
                 a, b = np.frombuffer(data, np.uint32), np.frombuffer(model, np.uint32)
-                at = common_subsequence(a, b)
-                if len(at) >= coverage * len(b):
-                    span = int(at[-1] - at[0]) + 1
-                    if span * coverage <= len(b):
-                        rows.append((doc, name, lo + int(at[0]), lo + int(at[-1]) + 1, votes, round(len(at) / len(b), 6)))
+                for start, end, n in occurrences(a, b, coverage, low - lo, high - lo):
+                    rows.append((doc, name, lo + start, lo + end, votes, round(n / len(b), 6)))
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64()]
             columns = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "template", "start_word", "end_word", "votes", "coverage"])
@@ -124,11 +153,29 @@ def _verify_batches(coverage: float):
     return run
 
 
+def _apart_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of findings that overlap, the fullest, then the shortest, then the first."""
+    for batch in batches:
+        rows = []
+        for doc, name, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "template", "found"))):
+            taken: list[dict] = []
+            for x in sorted(found, key=lambda x: (-x["coverage"], x["end_word"] - x["start_word"], x["start_word"], -x["votes"])):
+                if all(x["end_word"] <= y["start_word"] or x["start_word"] >= y["end_word"] for y in taken):
+                    taken.append(x)
+            rows += [(doc, name, x["start_word"], x["end_word"], x["votes"], x["coverage"]) for x in taken]
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64()]
+        columns = list(zip(*rows)) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "template", "start_word", "end_word", "votes", "coverage"])
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", k: int = K, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
     """Occurrences of the templates; see the module's docstring."""
     docs = seeds.base(docs, id_col, text_col)
     models = (default_templates(docs.sparkSession) if templates is None else templates).select(F.col("template").cast("string"), "text").where("template is not null and text is not null")
     places = _grams(models.select(F.col("template").alias("id"), "text"), "string", k).select(F.col("id").alias("template"), F.col("pos").alias("tpos"), "h")
+    places = scratch(places, "places")
+    if table_bytes(places) <= BROADCAST_BYTES:
+        places = F.broadcast(places)
     votes = (
         _grams(docs.select(F.col("doc_id").alias("id"), "text"), "long", k)
         .join(places, "h")
@@ -143,8 +190,11 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     merged = begins.withColumn("no", F.sum("new").over(order)).groupBy("doc_id", "template", "no", "length").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), (F.max("high") + k).alias("high"))
     # even with one word in k replaced, some of the k-grams of a covered template are left
     likely = merged.where(F.col("votes") * 3 * k >= F.col("length") - k + 1)
-    key = F.struct("template", "doc_id", "votes", "no").alias("key")
-    requests = likely.select("doc_id", (F.col("low") - F.col("length")).cast("int").alias("lo"), (F.col("high") + F.col("length")).cast("int").alias("hi"), key)
+    key = F.struct("template", "doc_id", "votes", "no", "low", "high").alias("key")
+    reach = F.ceil(F.col("length") / F.lit(coverage))
+    requests = likely.select("doc_id", (F.col("low") - reach).cast("int").alias("lo"), (F.col("high") + reach).cast("int").alias("hi"), key)
     found = seeds.segments(docs, requests).select("key.*", "lo", "words")
     words = models.mapInArrow(_template_words, "template string, model binary")
-    return found.join(words, "template").mapInArrow(_verify_batches(coverage), "doc_id long, template string, start_word int, end_word int, votes long, coverage double").dropDuplicates(["doc_id", "template", "start_word", "end_word"])
+    schema = "doc_id long, template string, start_word int, end_word int, votes long, coverage double"
+    each = found.join(words, "template").mapInArrow(_verify_batches(coverage), schema).groupBy("doc_id", "template")
+    return each.agg(F.collect_list(F.struct("start_word", "end_word", "votes", "coverage")).alias("found")).mapInArrow(_apart_batches, schema)

@@ -228,6 +228,42 @@ def test_licenses(spark, odd, empty):
     assert {r.doc_id for r in license_scan.scan(odd, templates).collect()} == {4, 5}
 
 
+def test_license_occurrences_are_exact():
+    r = random.Random(5)
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for u in x:
+            last = row[:]
+            for j, w in enumerate(y):
+                row[j + 1] = last[j] + 1 if u == w else max(last[j + 1], row[j])
+        return row[-1]
+
+    hits = 0
+    for _ in range(300):
+        m, n = r.randint(4, 12), r.randint(4, 25)
+        a, b = ([r.randint(0, 5) for _ in range(k)] for k in (n, m))
+        if r.random() < 0.7:
+            a[r.randint(0, n) :] = [x for x in b if r.random() < 0.95]
+        span = int(m / 0.8)
+        every = [(-k, e - s, s) for s in range(len(a)) for e in range(s + 1, min(len(a), s + span) + 1) if (k := common(a[s:e], b)) >= 0.8 * m - 1e-9]
+        got = list(license_scan.occurrences(np.array(a), np.array(b), 0.8, 0, len(a)))
+        assert bool(got) == bool(every)
+        if got:
+            hits += 1
+            s, e, k = got[0]
+            assert (-k, e - s, s) == min(every)
+    assert hits > 50
+
+
+def test_licenses_beside_their_own_words(spark):
+    texts = dict(license_scan.TEMPLATES)
+    gpl, cc0 = texts["gpl-3.0-notice"], texts["cc0-1.0-notice"]
+    rows = [(1, "See the notes on this page before use. " + gpl + "."), (2, "Please refer to the notes below. " + cc0), (3, f"x {gpl} {gpl} y"), (4, "This is all that we say on it. That" + gpl[4:])]
+    got = {(r.doc_id, r.template, r.start_word, r.end_word, r.coverage) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "gpl-3.0-notice", 8, 20, 1.0), (2, "cc0-1.0-notice", 6, 24, 1.0), (3, "gpl-3.0-notice", 1, 13, 1.0), (3, "gpl-3.0-notice", 13, 25, 1.0), (4, "gpl-3.0-notice", 9, 20, 0.916667)}
+
+
 def test_license_lines_of_the_table(table):
     frame = table.toPandas()
     want = set(frame.doc_id[frame.text.str.contains("Released under the MIT License|Licensed under CC BY-NC 4.0|GNU General Public License, version 3|Apache License, Version 2.0")])
