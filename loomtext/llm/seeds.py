@@ -2,9 +2,9 @@
 
 Equal runs of ``k + w - 1`` words always select the same k-gram, so every
 passage that long which two documents share is found through a common seed.
-Each occurrence of a seed is linked to its *hub*, the document of lowest id
-that has it: links grow with the text, not with the square of the number of
-copies, and no occurrence is left out however frequent a seed is.
+For ``shared`` each occurrence of a seed goes to its *hub*, the document of
+lowest id that has it: rows grow with the text, not with the square of the
+number of copies, and no occurrence is left out however frequent a seed is.
 
 Rows whose doc_id is null take no part.  Rows that repeat a doc_id count as the
 same document.  A null or empty text has no words and so no seeds.
@@ -66,19 +66,23 @@ def shared(docs: DataFrame, k: int, w: int) -> DataFrame:
     return rows.where("hub <> doc_id or next is not null").select("hub", "doc_id", "pos", "more")
 
 
-def links(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """(doc, hub, pos, hpos) for each occurrence of a seed whose hub is another document.
+def links(docs: DataFrame, k: int, w: int, partners: int) -> DataFrame:
+    """(doc, hub, pos, hpos) for each occurrence of a seed and the documents of lower id that have it.
 
-    The i-th occurrence within a document goes with the hub's i-th, or its last.
+    The first ``partners`` + 1 documents of a seed are linked to all before
+    them, the later ones of a frequent seed to the first document only.  The
+    i-th occurrence within a document goes with the other's i-th, or its last.
     """
     within = Window.partitionBy("h").orderBy("doc_id")
-    hub = F.first(F.struct("doc_id", "pos", "more")).over(within)
-    rows = seeds(docs, k, w).withColumn("lead", hub).where("lead.doc_id < doc_id")
+    this = F.struct("doc_id", "pos", "more")
+    before = F.collect_list(this).over(within.rowsBetween(-partners, -1))
+    rows = seeds(docs, k, w).withColumns({"no": F.row_number().over(within), "first": F.first(this).over(within), "before": before}).where("no > 1")
+    leads = rows.select("doc_id", "pos", "more", F.explode(F.when(F.col("no") > partners + 1, F.array("first")).otherwise(F.col("before"))).alias("lead")).where("lead.doc_id < doc_id")
     hubs = F.concat(F.array("lead.pos"), F.coalesce("lead.more", F.expr("array()").cast("array<int>")))
     own = F.concat(F.array("pos"), F.coalesce("more", F.expr("array()").cast("array<int>")))
     one = F.array(F.struct(F.col("pos").alias("p"), F.col("lead.pos").alias("q")))
     many = F.transform(own, lambda p, i: F.struct(p.alias("p"), F.element_at(hubs, F.least(i + 1, F.size(hubs))).alias("q")))
-    pairs = rows.select(F.col("doc_id").alias("doc"), F.col("lead.doc_id").alias("hub"), F.explode(F.when(F.col("more").isNull(), one).otherwise(many)).alias("at"))
+    pairs = leads.select(F.col("doc_id").alias("doc"), F.col("lead.doc_id").alias("hub"), F.explode(F.when(F.col("more").isNull(), one).otherwise(many)).alias("at"))
     return pairs.select("doc", "hub", F.col("at.p").alias("pos"), F.col("at.q").alias("hpos"))
 
 

@@ -117,6 +117,40 @@ def test_collinear_spans_an_edit(spark):
     assert [(x.start_word, x.end_word, x.matched_words) for x in r] == [(0, 299, 298)]
 
 
+def edited(r, text, rate):
+    """A copy with that share of its words replaced, at places drawn without repeats."""
+    text = text[:]
+    for i in r.sample(range(len(text)), int(rate * len(text))):
+        text[i] = f"new{r.randrange(10**9)}"
+    return text
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.19])
+def test_collinear_recall_of_edited_passages(spark, rate):
+    r = random.Random(rate)
+    rows, lengths = [], [60, 100, 200]
+    for n in range(120):
+        own = [f"p{n}q{i}" if r.random() < 0.5 else r.choice(VOCABULARY) for i in range(lengths[n % 3])]
+        rows += [(n, f"{prose(f'a{n}', 80)} {' '.join(own)} {prose(f'b{n}', 80)}"), (1000 + n, f"{prose(f'c{n}', 80)} {' '.join(edited(r, own, rate))} {prose(f'd{n}', 80)}")]
+    got = collections.defaultdict(int)
+    for x in collinear.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[x.doc_id, x.source_doc_id] += min(x.end_word, 80 + lengths[x.doc_id % 1000 % 3]) - max(x.start_word, 80)
+    for kind, length in enumerate(lengths):
+        found = [got[1000 + n, n] >= length / 2 for n in range(kind, 120, 3)]
+        assert sum(found) >= 0.9 * len(found), (length, sum(found), len(found))
+
+
+def test_collinear_passage_whose_parts_stand_in_earlier_documents(spark):
+    rows = []
+    for n in range(40):
+        p = prose(f"p{n}", 60).split()
+        first, last = " ".join(p[: 24 + n % 14]), " ".join(p[24 + n % 14 :])
+        near = lambda x: f"{prose(f'{x}{n}', 50)} {{}} {prose(f'{x}{n}z', 50)}"  # noqa: B023, E731
+        rows += [(n, near("a").format(first)), (100 + n, near("b").format(last)), (200 + n, near("c").format(" ".join(p))), (300 + n, near("d").format(" ".join(p)))]
+    got = collinear.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.source_doc_id) for x in got if x.doc_id >= 300 and x.start_word <= 50 and x.end_word >= 110} == {(300 + n, 200 + n) for n in range(40)}
+
+
 def test_chain_is_optimal():
     r = random.Random(1)
     for _ in range(100):
