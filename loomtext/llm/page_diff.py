@@ -4,6 +4,8 @@ Pages are put in order of (host, path); the nearest of a page is whichever of
 its two neighbours on the host has the longer common beginning of the path, the
 one before it if both have the same.  A neighbour with exactly the same lines
 says nothing about what is the site's and what the page's: it is passed over.
+With ``past_equal``, as the query does it, the search goes on from there to the
+next page of the host whose lines differ, however many are equal between.
 The text lines of the page and its nearest are aligned by longest common
 subsequence, and the shared lines are deleted.  A page without a neighbour
 keeps all its lines.
@@ -134,7 +136,20 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["partner"], pa.array(texts, pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())], names=["page_id", "url", "partner_id", "text", "lines", "deleted"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _around_runs(ranked: DataFrame) -> DataFrame:
+    """(rank, low, high): for each row the ranks before and after the run of equal pages of its host that it stands in."""
+    light = ranked.select("rank", "part", "host", F.xxhash64("lines").alias("same"))
+    before = light.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("h"), F.col("same").alias("s"))
+    goes_on = (F.col("h") == F.col("host")) & (F.col("s") == F.col("same"))
+    flags = scratch(light.join(before, "rank", "left").select("rank", "part", F.when(goes_on, 0).otherwise(1).alias("new")), "flags")
+    sizes = flags.groupBy("part").agg(F.sum("new").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    runs = flags.join(starts, "part").select("rank", (F.col("start") + F.sum("new").over(Window.partitionBy("part").orderBy("rank"))).alias("run"))
+    ends = runs.groupBy("run").agg((F.min("rank") - 1).alias("low"), (F.max("rank") + 1).alias("high"))
+    return runs.join(ends, "run").select("rank", "low", "high")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", past_equal: bool = False) -> DataFrame:
     """(page_id, url, partner_id, text, lines, deleted): each page's own lines; see the module's docstring."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
@@ -148,8 +163,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row for each partition
     ranked = ordered.join(starts, "part").withColumn("rank", F.col("start") + F.col("idx"))
-    side = lambda by, name: ranked.select((F.col("rank") + by).alias("rank"), F.col("host").alias(f"{name}_host"), F.struct("page_id", "path", "lines").alias(name))
-    paired = ranked.join(side(1, "before"), "rank", "left").join(side(-1, "after"), "rank", "left")
+    near = _around_runs(ranked) if past_equal else ranked.select("rank", (F.col("rank") - 1).alias("low"), (F.col("rank") + 1).alias("high"))
+    side = lambda at, name: ranked.select(F.col("rank").alias(at), F.col("host").alias(f"{name}_host"), F.struct("page_id", "path", "lines").alias(name))
+    paired = ranked.join(near, "rank").join(side("low", "before"), "low", "left").join(side("high", "after"), "high", "left")
     own = [F.when(F.col(f"{s}_host") == F.col("host"), F.col(s)).alias(s) for s in ("before", "after")]
     drops = paired.select("page_id", "url", "path", "lines", *own).mapInArrow(_diff_batches, "page_id long, url string, partner long, drop array<int>")
     deleted = scratch(drops.select(F.col("page_id").alias("p"), F.col("url").alias("u"), "partner", "drop"), "deleted")

@@ -62,7 +62,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_diff.extract(_table(spark, sf_dir, "pages"))
+    return page_diff.extract(_table(spark, sf_dir, "pages"), past_equal=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

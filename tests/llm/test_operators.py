@@ -405,6 +405,16 @@ def test_pages_odd(spark):
     assert page_diff.extract(docs.limit(0)).count() == 0
 
 
+def test_pages_past_equal_ones(spark, tmp_path):
+    page = "<body><p>menu</p><p>text {}</p><p>end</p>"
+    rows = [(n, f"http://h/a/{n // 3}?page={n}", page.format(n // 3)) for n in range(9)] + [(20, "http://i/", page.format(7)), (21, "http://i/b", page.format(7))]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    docs.repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.partner_id, r.text) for r in queries.op10_html_extraction(spark, str(tmp_path)).collect()}
+    assert {n: t for n, (_, t) in got.items()} == {**{n: f"text {n // 3}" for n in range(9)}, 20: "menu\ntext 7\nend", 21: "menu\ntext 7\nend"}
+    assert [got[n][0] for n in range(9)] == [3] * 3 + [2] * 3 + [5] * 3
+
+
 def test_empty_and_long(empty):
     assert collinear.repeated_passages(empty).count() == 0
     assert suffix_dedup.repeated_spans(empty).count() == 0
