@@ -22,6 +22,7 @@ once; columns other than id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +60,17 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ),
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form"),
+    ("all-rights-reserved-notice", "All rights reserved"),
 )
 
+#: Whole licence texts and standard headers, a file for each template.
+TEXTS = Path(__file__).parent / "licenses"
+
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES), "template string, text string")
+    """The notices above and all files of ``TEXTS``."""
+    texts = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    return spark.createDataFrame([*TEMPLATES, *texts], "template string, text string")
 
 
 def _gram_batches(k: int):

@@ -298,6 +298,18 @@ def test_licenses_beside_their_own_words(spark):
     assert got == {(1, "gpl-3.0-notice", 8, 20, 1.0), (2, "cc0-1.0-notice", 6, 24, 1.0), (3, "gpl-3.0-notice", 1, 13, 1.0), (3, "gpl-3.0-notice", 13, 25, 1.0), (4, "gpl-3.0-notice", 9, 20, 0.916667)}
 
 
+def test_whole_licenses_with_edits(spark):
+    r = random.Random(2)
+    names = ["mit", "bsd-2-clause", "bsd-3-clause", "isc", "apache-2.0", "mpl-2.0", "gpl-3.0", "lgpl-3.0", "gpl-3.0-header-full", "apache-2.0-header-full"]
+    rows = []
+    for n, name in enumerate(names):
+        text = (license_scan.TEXTS / f"{name}.txt").read_text().split()
+        rows.append((n, f"{prose(n, 40)} {' '.join(edited(r, text, 0.03))} {prose(90 + n, 40)}"))
+    rows.append((50, f"{prose(50, 9)} All rights reserved. {prose(51, 9)}"))
+    got = {(x.doc_id, x.template): x.coverage for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[n, name] > 0.93 for n, name in enumerate(names)) and got[50, "all-rights-reserved-notice"] == 1
+
+
 def test_license_lines_of_the_table(table):
     frame = table.toPandas()
     want = set(frame.doc_id[frame.text.str.contains("Released under the MIT License|Licensed under CC BY-NC 4.0|GNU General Public License, version 3|Apache License, Version 2.0")])
