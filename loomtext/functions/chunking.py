@@ -97,14 +97,20 @@ def chunk_id(url: str, index: int, text: str) -> str:
     return hashlib.sha256(f"{url}:{index}:{text[:64]}".encode()).hexdigest()[:16]
 
 
-def heading_path(chunk: str, text: str, headings: list[tuple[int, str]]) -> list[str]:
+def heading_places(text: str, headings: list[tuple[int, str]]) -> list[tuple[int, str, int]]:
+    """(level, title, place) of the headings that the text has, each at its first place."""
+    first: dict[str, int] = {}
+    return [(level, title, first[title]) for level, title in headings if first.setdefault(title, text.find(title)) >= 0]
+
+
+def path_at(chunk: str, text: str, places: list[tuple[int, str, int]]) -> list[str]:
     """Headings above the chunk's place by level; a shallower one leaves deeper levels as they are."""
-    at = text.find(chunk[:50])
+    at = text.find(chunk[:50]) if places else -1
     if at < 0:
         return []
-    path: dict[int, str] = {}
-    for level, title in headings:
-        place = text.find(title)
-        if 0 <= place <= at + len(chunk[:50]):
-            path[level] = title
+    path = {level: title for level, title, place in places if place <= at + len(chunk[:50])}
     return [path[k] for k in sorted(path)]
+
+
+def heading_path(chunk: str, text: str, headings: list[tuple[int, str]]) -> list[str]:
+    return path_at(chunk, text, heading_places(text, headings))

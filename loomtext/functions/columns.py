@@ -14,7 +14,7 @@ STOPWORDS = (
     "where which would before during should because between further through "
 ).split()
 #: In order of precedence.
-FRAMEWORKS = ["react", *"vue angular svelte next.js nuxt".split(), *"express fastapi django flask".split(), *"spring rails tailwind".split(), "bootstrap", "pytorch", "tensorflow"]
+FRAMEWORKS = "react vue angular svelte next.js nuxt express fastapi django flask spring rails tailwind bootstrap pytorch tensorflow".split()
 
 
 def clean(text: Column) -> Column:
@@ -64,6 +64,10 @@ def is_pdf(url: Column) -> Column:
     return F.lower(url).endswith(".pdf") | _any(url, "/pdf/", "application/pdf")
 
 
+def is_repo(url: Column) -> Column:
+    return url.rlike(r"^https?://(www\.)?github\.com/[\w.-]+/[\w.-]+")
+
+
 def repo_parts(url: Column) -> Column:
     part = lambda p: F.nullif(F.regexp_extract(url, p, 1), F.lit(""))
     head = r"github\.com/"

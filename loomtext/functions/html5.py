@@ -49,12 +49,19 @@ class Node:
     def html(self) -> str:
         """Inner markup."""
         out: list[str] = []
-        for child in self.children:
-            if not child.tag:
+        stack: list[Node | str] = list(reversed(self.children))
+        while stack:
+            child = stack.pop()
+            if isinstance(child, str):
+                out.append(child)
+            elif not child.tag:
                 out.append(child.value.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
-                continue
-            attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in child.attrs.items())
-            out.append(f"<{child.tag}{attrs}>" + ("" if child.tag in VOID else f"{child.html()}</{child.tag}>"))
+            else:
+                attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in child.attrs.items())
+                out.append(f"<{child.tag}{attrs}>")
+                if child.tag not in VOID:
+                    stack.append(f"</{child.tag}>")
+                    stack.extend(reversed(child.children))
         return "".join(out)
 
     def closest(self, tags: frozenset[str] | set[str]) -> Node | None:

@@ -43,99 +43,138 @@ def table_markdown(grid: list[list[str]]) -> str:
 
 
 def _join(parts: list[str]) -> str:
-    out = ""
+    """The parts with the larger number of line ends between each two, two at most."""
+    out: list[str] = []
+    ends = 0
     for part in parts:
-        head, tail = out.rstrip("\n"), part.lstrip("\n")
-        breaks = min(2, max(len(out) - len(head), len(part) - len(tail)))
-        out = head + "\n" * breaks + tail
-    return out
-
-
-def _inner(node: Node, images: bool) -> str:
-    return _join([_render(c, images) for c in node.children])
-
-
-def _item(node: Node, images: bool) -> str:
-    parent, depth, up = node.parent, 0, node.parent
-    while up is not None:
-        depth += up.tag in ("ul", "ol")
-        up = up.parent
-    body = re.sub(r"\n", "\n    ", _inner(node, images).strip("\n"))
-    box = next((n for n in node.walk() if n.tag == "input" and n.attrs.get("type") == "checkbox"), None)
-    mark = ("[x] " if "checked" in box.attrs else "[ ] ") if box is not None else ""
-    prefix = "- "
-    if parent is not None and parent.tag == "ol":
-        own = [c for c in parent.children if c.tag]
-        first = parent.attrs.get("start", "")
-        prefix = f"{(int(first) if first.isdigit() else 1) + own.index(node)}. "
-    after = "\n" if parent is not None and any(c.tag for c in parent.children[parent.children.index(node) + 1 :]) else ""
-    return "  " * max(depth - 1, 0) + prefix + mark + body.strip() + after
-
-
-def _render(node: Node, images: bool) -> str:
-    tag = node.tag
-    if not tag:
+        tail = part.lstrip("\n")
+        breaks = min(2, max(ends, len(part) - len(tail)))
+        if not tail:  # line ends only
+            ends = breaks
+            continue
+        core = tail.rstrip("\n")
+        out += ["\n" * breaks, core]
+        ends = len(tail) - len(core)
+    return "".join(out) + "\n" * ends
+
+
+#: Elements whose children are not rendered one by one.
+_WHOLE = frozenset("script style head title meta link input pre table img br hr code".split())
+
+
+class _Renderer:
+    """Markdown of a tree, children before their parents, so that no depth of nesting is too deep."""
+
+    def __init__(self, images: bool) -> None:
+        self.images = images
+        self.done: dict[int, str] = {}
+        self.place: dict[int, int] = {}
+        self.number: dict[int, int] = {}
+        self.depth: dict[int, int] = {}
+        self.last: dict[int, int] = {}
+
+    def render(self, root: Node) -> str:
+        order, stack = [], [root]
+        self.depth[id(root)] = 0
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            if node.tag in _WHOLE:
+                continue
+            below = self.depth[id(node)] + (node.tag in ("ul", "ol"))
+            n = 0
+            for i, child in enumerate(node.children):
+                self.place[id(child)], self.number[id(child)], self.depth[id(child)] = i, n, below
+                n += bool(child.tag)
+                if child.tag:
+                    self.last[id(node)] = i
+            stack.extend(node.children)
+        for node in reversed(order[1:]):
+            self.done[id(node)] = self._one(node)
+        return self._inner(root)
+
+    def _inner(self, node: Node, but: Node | None = None) -> str:
+        return _join([self.done[id(c)] for c in node.children if c is not but])
+
+    def _item(self, node: Node) -> str:
+        parent = node.parent
+        body = re.sub(r"\n", "\n    ", self._inner(node).strip("\n"))
+        box = next((n for n in node.walk() if n.tag == "input" and n.attrs.get("type") == "checkbox"), None)
+        mark = ("[x] " if "checked" in box.attrs else "[ ] ") if box is not None else ""
+        prefix = "- "
+        if parent is not None and parent.tag == "ol":
+            first = parent.attrs.get("start", "")
+            prefix = f"{(int(first) if first.isdigit() else 1) + self.number[id(node)]}. "
+        after = "\n" if parent is not None and self.last.get(id(parent), -1) > self.place[id(node)] else ""
+        return "  " * max(self.depth[id(node)] - 1, 0) + prefix + mark + body.strip() + after
+
+    def _text(self, node: Node) -> str:
         text = re.sub(r"[ \t\r\n\f]+", " ", node.value)
         parent = node.parent
         if parent is not None and parent.tag in BLOCK:
-            at = next(i for i, c in enumerate(parent.children) if c is node)
+            at = self.place[id(node)]
             if at == 0 or parent.children[at - 1].tag in BLOCK or parent.children[at - 1].tag == "br":
                 text = text.lstrip(" ")
             if at == len(parent.children) - 1 or parent.children[at + 1].tag in BLOCK:
                 text = text.rstrip(" ")
         return escape(text)
-    if tag in ("script", "style", "head", "title", "meta", "link", "input"):
-        return ""
-    if tag == "pre":
-        code = next((n for n in node.walk() if n.tag == "code"), None)
-        if code is not None:
-            lang = re.search(r"(?:language-|lang-)(\w+)", code.attrs.get("class", ""))
-            return f"\n\n```{lang[1] if lang else ''}\n{code.text().strip()}\n```\n\n"
-        return f"\n\n{node.text().strip()}\n\n"
-    if tag == "table":
-        return f"\n\n{table_markdown(table_grid(node))}\n\n"
-    if tag == "img":
-        alt, src, title = (node.attrs.get(k, "") for k in ("alt", "src", "title"))
-        if images:
-            return f"![{alt}]({src}{f' {chr(34)}{title}{chr(34)}' if title else ''})" if src else ""
-        return f"[Image: {alt}]" if alt else ""
-    if tag == "br":
-        return "  \n"
-    if tag == "hr":
-        return "\n\n* * *\n\n"
-    if tag == "code":
-        text = node.text().replace("\n", " ")
-        fence = "`"
-        while fence in re.findall("`+", text):
-            fence += "`"
-        return f"{fence}{text}{fence}" if text.strip() else ""
-    if tag == "li":
-        return _item(node, images)
-    body = _inner(node, images)
-    if not body.strip() and tag not in ("td", "th"):
-        return "\n\n" if tag in BLOCK else body
-    if re.fullmatch("h[1-6]", tag):
-        return f"\n\n{'#' * int(tag[1])} {body.strip()}\n\n"
-    if tag in ("ul", "ol"):
-        return f"\n{body}" if node.parent is not None and node.parent.tag == "li" else f"\n\n{body.strip(chr(10))}\n\n"
-    if tag == "blockquote":
-        quoted = "\n".join(f"> {line}".rstrip() if not line else f"> {line}" for line in body.strip().split("\n"))
-        return f"\n\n{quoted}\n\n"
-    if tag == "details":
-        summary = next((n for n in node.walk() if n.tag == "summary"), None)
-        rest = _join([_render(c, images) for c in node.children if c is not summary]).strip()
-        return f"\n\n<details>\n<summary>{summary.text().strip() if summary is not None else 'Details'}</summary>\n\n{rest}\n\n</details>\n\n"
-    if tag == "a":
-        href, text = node.attrs.get("href", ""), body.strip()
-        if not text:
+
+    def _one(self, node: Node) -> str:
+        tag = node.tag
+        if not tag:
+            return self._text(node)
+        if tag in ("script", "style", "head", "title", "meta", "link", "input"):
             return ""
-        title = node.attrs.get("title")
-        return f"[{text}]({href}{f' {chr(34)}{title}{chr(34)}' if title else ''})" if href else body
-    for tags, mark in ((("strong", "b"), "**"), (("em", "i"), "*"), (("del", "s", "strike"), "~~")):
-        if tag in tags:
-            lead, tail = body[: len(body) - len(body.lstrip())], body[len(body.rstrip()) :]
-            return f"{lead}{mark}{body.strip()}{mark}{tail}"
-    return f"\n\n{body.strip(chr(10))}\n\n" if tag in BLOCK else body
+        if tag == "pre":
+            code = next((n for n in node.walk() if n.tag == "code"), None)
+            if code is not None:
+                lang = re.search(r"(?:language-|lang-)(\w+)", code.attrs.get("class", ""))
+                return f"\n\n```{lang[1] if lang else ''}\n{code.text().strip()}\n```\n\n"
+            return f"\n\n{node.text().strip()}\n\n"
+        if tag == "table":
+            return f"\n\n{table_markdown(table_grid(node))}\n\n"
+        if tag == "img":
+            alt, src, title = (node.attrs.get(k, "") for k in ("alt", "src", "title"))
+            if self.images:
+                return f"![{alt}]({src}{f' {chr(34)}{title}{chr(34)}' if title else ''})" if src else ""
+            return f"[Image: {alt}]" if alt else ""
+        if tag == "br":
+            return "  \n"
+        if tag == "hr":
+            return "\n\n* * *\n\n"
+        if tag == "code":
+            text = node.text().replace("\n", " ")
+            fence = "`"
+            while fence in re.findall("`+", text):
+                fence += "`"
+            return f"{fence}{text}{fence}" if text.strip() else ""
+        if tag == "li":
+            return self._item(node)
+        body = self._inner(node)
+        if not body.strip() and tag not in ("td", "th"):
+            return "\n\n" if tag in BLOCK else body
+        if re.fullmatch("h[1-6]", tag):
+            return f"\n\n{'#' * int(tag[1])} {body.strip()}\n\n"
+        if tag in ("ul", "ol"):
+            return f"\n{body}" if node.parent is not None and node.parent.tag == "li" else f"\n\n{body.strip(chr(10))}\n\n"
+        if tag == "blockquote":
+            quoted = "\n".join(f"> {line}".rstrip() if not line else f"> {line}" for line in body.strip().split("\n"))
+            return f"\n\n{quoted}\n\n"
+        if tag == "details":
+            summary = next((n for n in node.walk() if n.tag == "summary"), None)
+            rest = self._inner(node, summary).strip()
+            return f"\n\n<details>\n<summary>{summary.text().strip() if summary is not None else 'Details'}</summary>\n\n{rest}\n\n</details>\n\n"
+        if tag == "a":
+            href, text = node.attrs.get("href", ""), body.strip()
+            if not text:
+                return ""
+            title = node.attrs.get("title")
+            return f"[{text}]({href}{f' {chr(34)}{title}{chr(34)}' if title else ''})" if href else body
+        for tags, mark in ((("strong", "b"), "**"), (("em", "i"), "*"), (("del", "s", "strike"), "~~")):
+            if tag in tags:
+                lead, tail = body[: len(body) - len(body.lstrip())], body[len(body.rstrip()) :]
+                return f"{lead}{mark}{body.strip()}{mark}{tail}"
+        return f"\n\n{body.strip(chr(10))}\n\n" if tag in BLOCK else body
 
 
 _POST = [
@@ -156,7 +195,7 @@ def post_process(text: str) -> str:
 
 
 def convert(source: str, images: bool = False) -> str:
-    return post_process(_inner(parse(source), images))
+    return post_process(_Renderer(images).render(parse(source)))
 
 
 def resolve_links(text: str, base: str) -> str:

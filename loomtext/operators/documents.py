@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import chunking
 from loomtext.functions import columns as C
-from loomtext.runtime import scratch
+from loomtext.runtime import scratch, small
+
+#: Terms of queries that are sent to all tasks; more are shuffled.
+QUERY_BYTES = 16 << 20
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,6 +29,35 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.withColumn("original", F.first("duplicate").over(Window.partitionBy("__fp").orderBy("duplicate"))).where("duplicate <> original").drop("__fp")
 
 
+class Register:
+    """Fingerprints of what has been taken in, in a folder of Parquet files that is only added to."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _rows(self) -> DataFrame:
+        empty = self.spark.createDataFrame([], "fingerprint string, key string")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+        return self.spark.read.parquet(self.path) if there else empty
+
+    def new(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """The first row of each fingerprint that is not registered yet."""
+        own = dedup(docs, key, text).withColumn("__fp", C.fingerprint(F.col(text)))
+        return own.join(self._rows().select(F.col("fingerprint").alias("__fp")), "__fp", "left_anti").drop("__fp")
+
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
+        rows = self.new(docs, key, text).select(C.fingerprint(F.col(text)).alias("fingerprint"), F.col(key).cast("string").alias("key"))
+        scratch(rows, "register").write.mode("append").parquet(self.path)
+
+    def size(self) -> int:
+        return self._rows().count()
+
+    def clear(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, n, len)."""
     rows = docs.select(key, C.tokens(F.col(text)).alias("__t")).select(key, F.size("__t").alias("len"), F.explode("__t").alias("term"))
@@ -44,16 +76,62 @@ def tfidf(docs: DataFrame, weights: DataFrame, key: str = "doc_id", text: str =
     return term_counts(docs, key, text).join(weights.select("term", "idf"), "term").select(key, "term", (F.col("n") / F.col("len") * F.col("idf")).alias("weight"))
 
 
+class SearchIndex:
+    """A TF-IDF index as written tables: texts are cut to terms once, when they are added.
+
+    Weights follow from the counts of all that was added, so that documents
+    added later weigh as if they had been there from the start.
+    """
+
+    def __init__(self, key: str = "doc_id", text: str = "text") -> None:
+        self.key, self.text = key, text
+        self.clear()
+
+    def clear(self) -> None:
+        self.counts: DataFrame | None = None
+        self.documents = 0
+        self._weighted: DataFrame | None = None
+
+    def size(self) -> int:
+        return self.documents
+
+    def add(self, docs: DataFrame) -> SearchIndex:
+        """Rows of new keys; a key must not come twice."""
+        own = scratch(term_counts(docs, self.key, self.text), "terms")
+        self.counts = own if self.counts is None else self.counts.unionByName(own)
+        self.documents += docs.count()
+        self._weighted = None
+        return self
+
+    def idf(self) -> DataFrame:
+        return self.counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.ln(F.lit(self.documents) / F.col("df")))
+
+    def _tables(self) -> DataFrame:
+        if self._weighted is None:
+            self._idf = scratch(self.idf(), "idf")
+            weighted = self.counts.join(self._idf, "term").select(self.key, "term", (F.col("n") / F.col("len") * F.col("idf")).alias("weight"))
+            self._weighted = scratch(weighted, "weights")
+            self._norm = scratch(self._weighted.groupBy(self.key).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm")), "norms")
+        return self._weighted
+
+    def search(self, queries: DataFrame, top_k: int = 5, query_key: str = "query_id", text: str = "text") -> DataFrame:
+        """(query, key, score, rank): cosine of sparse vectors; scores above 0, ties by key."""
+        key = self.key
+        if self.counts is None:
+            kinds = queries.select(query_key).schema
+            return queries.sparkSession.createDataFrame([], f"{query_key} {kinds[0].dataType.simpleString()}, {key} string, score double, rank int")
+        index = self._tables()
+        asked = scratch(term_counts(queries, query_key, text).join(self._idf, "term").select(query_key, "term", (F.col("n") / F.col("len") * F.col("idf")).alias("q")), "asked")
+        qnorm = asked.groupBy(query_key).agg(F.sqrt(F.sum(F.col("q") ** 2)).alias("qnorm"))
+        # a term's list of documents is as long as it is; the queries' side is small enough to go to it, or both are shuffled
+        dots = index.join(small(asked, QUERY_BYTES), "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
+        scored = dots.join(self._norm, key).join(qnorm, query_key).select(query_key, key, F.round(F.try_divide("dot", F.col("norm") * F.col("qnorm")), 6).alias("score")).where("score > 0")
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))).where(F.col("rank") <= top_k)
+
+
 def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, key: str = "doc_id", query_key: str = "query_id", text: str = "text") -> DataFrame:
-    """(query, key, score, rank): cosine of sparse TF-IDF vectors; scores above 0, ties by key."""
-    weights = idf(docs, key, text)
-    index = tfidf(docs, weights, key, text)
-    asked = tfidf(queries, weights, query_key, text).withColumnRenamed("weight", "q")
-    norm = index.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    qnorm = asked.groupBy(query_key).agg(F.sqrt(F.sum(F.col("q") ** 2)).alias("qnorm"))
-    dots = index.join(asked, "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
-    scored = dots.join(norm, key).join(qnorm, query_key).select(query_key, key, F.round(F.try_divide("dot", F.col("norm") * F.col("qnorm")), 6).alias("score")).where("score > 0")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))).where(F.col("rank") <= top_k)
+    """The best documents of each query, from an index built for the purpose."""
+    return SearchIndex(key, text).add(docs).search(queries, top_k, query_key)
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -76,12 +154,6 @@ def crawl_levels(seeds: DataFrame, links: DataFrame, depth: int, include: list[s
     return visited if max_pages is None else visited.orderBy("depth", "url").limit(max_pages)
 
 
-def within_budget(chunks: DataFrame, budget: int, group: str, order: str, tokens: str = "tokens", header: Column | None = None) -> DataFrame:
-    """The first chunks of each group whose running sum, with the header's tokens, stays within the budget."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return chunks.withColumn("used", (F.sum(tokens).over(w) + (F.lit(0) if header is None else header)).cast("long")).where(F.col("used") <= budget)
-
-
 def cached(requests: DataFrame, snapshots: DataFrame, now: Column, ttl: int = 3600) -> DataFrame:
     """Requests with whether a snapshot not older than the time to live exists."""
     fresh = snapshots.where(F.unix_timestamp(now) - F.unix_timestamp("ts") <= ttl).groupBy("url_key").agg(F.max("ts").alias("cached_at"))
@@ -103,15 +175,15 @@ def _chunk_batches(strategy: str, limit: int, overlap: int, keep_code: bool, tok
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = state.setdefault("count", token_counter(tokenizer))
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for url, title, text, heads in zip(*(batch[c].to_pylist() for c in ("url", "title", "markdown", "headings"))):
                 chunks = chunking.split(text or "", strategy, limit, overlap, keep_code, count)
-                pairs = [(h["level"], h["text"]) for h in heads or ()]
+                places = chunking.heading_places(text or "", [(h["level"], h["text"]) for h in heads or ()])
                 for i, c in enumerate(chunks):
-                    for col, v in zip(cols, (url, title, c, count(c), i, chunking.heading_path(c, text, pairs))):
+                    for col, v in zip(cols, (url, title, c, count(c), i, len(chunks), chunking.path_at(c, text, places))):
                         col.append(v)
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["source_url", "title", "content", "tokens", "chunk_index", "heading_path"])
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["source_url", "title", "content", "tokens", "chunk_index", "total_chunks", "heading_path"])
 
     return run
 
@@ -133,7 +205,7 @@ def token_counter(vocabulary: str | None):
 
 def chunk(pages: DataFrame, strategy: str = "semantic", limit: int = 1500, overlap: int = 100, keep_code: bool = True, tokenizer: str | None = None) -> DataFrame:
     """One row a chunk of (url, title, markdown, headings)."""
-    raw = pages.select("url", "title", "markdown", "headings").mapInArrow(_chunk_batches(strategy, limit, overlap, keep_code, tokenizer), "source_url string, title string, content string, tokens int, chunk_index int, heading_path array<string>")
+    raw = pages.select("url", "title", "markdown", "headings").mapInArrow(_chunk_batches(strategy, limit, overlap, keep_code, tokenizer), "source_url string, title string, content string, tokens int, chunk_index int, total_chunks int, heading_path array<string>")
     fence = "`" * 3
     return raw.select(
         C.chunk_id(F.col("source_url"), F.col("chunk_index"), F.col("content")).alias("id"),
@@ -142,37 +214,3 @@ def chunk(pages: DataFrame, strategy: str = "semantic", limit: int = 1500, overl
         F.nullif(F.regexp_extract("content", fence + r"(\w+)", 1), F.lit("")).alias("language"),
         F.lit(tokenizer or "estimate").alias("tokenizer"),
     )
-
-
-def exported(chunks: DataFrame, target: str, collection: str | None = None) -> DataFrame:
-    """(id, record): a vector store's record of each chunk as JSON."""
-    meta = [F.col("content"), F.col("source_url").alias("source"), "title", F.concat_ws(" > ", "heading_path").alias("headingPath"), F.col("chunk_index").alias("chunkIndex"), F.col("has_code").alias("hasCode"), F.coalesce("language", F.lit("")).alias("language"), "tokens"]
-    if target == "pinecone":
-        extra = [F.lit(collection).alias("namespace")] if collection else []
-        record = F.struct("id", F.struct(*meta, *extra).alias("metadata"))
-    elif target == "chroma":
-        record = F.struct("id", F.col("content").alias("document"), F.struct(*meta[1:]).alias("metadata"))
-    elif target == "weaviate":
-        record = F.struct(F.lit(collection or "WebContent").alias("class"), F.struct(*meta, F.col("id").alias("chunkId")).alias("properties"))
-    elif target == "qdrant":
-        record = F.struct("id", F.struct(*meta).alias("payload"))
-    else:
-        raise ValueError(f"no export format {target}")
-    return chunks.select("id", F.to_json(record).alias("record"))
-
-
-TEMPLATES = {
-    "default": "# {{title}}\n\n> Source: {{url}}\n\n{{markdown}}",
-    "llm": '<context source="{{url}}" tokens="{{tokens}}">\n{{markdown}}\n</context>',
-    "minimal": "{{markdown}}",
-    "summary": "## {{title}}\n\n{{summary}}",
-}
-
-
-def render(pages: DataFrame, template: str, fields: dict[str, Column], name: str = "rendered") -> DataFrame:
-    """A template's text with each placeholder replaced once, literally."""
-    import re
-
-    parts = re.split(r"\{\{(\w+)\}\}", TEMPLATES.get(template, template))
-    pieces = [F.coalesce(fields[p].cast("string"), F.lit("")) if i % 2 and p in fields else F.lit(p) for i, p in enumerate(parts)]
-    return pages.withColumn(name, F.concat(*pieces))

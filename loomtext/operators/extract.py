@@ -30,16 +30,23 @@ SCHEMA = (
     "code_blocks array<struct<language:string,code:string,context:string>>, headings array<struct<level:int,text:string,id:string>>, "
     "links array<struct<href:string,text:string,is_internal:boolean>>, "
     "metadata struct<author:string,published_date:string,modified_date:string,language:string,framework:string,library:string,og_image:string,canonical:string,site_name:string,type:string,version:string,tags:array<string>>, "
-    "images array<struct<src:string,alt:string,title:string,width:int,height:int,context:string>>, has_article boolean, has_readme boolean, body string"
+    "images array<struct<src:string,alt:string,title:string,width:int,height:int,context:string>>, error string, has_article boolean, has_readme boolean, body string"
 )
 
 
-def _meta(root: Node, *names: str) -> str | None:
-    for name in names:
-        for node in root.walk():
-            if node.tag == "meta" and name in (node.attrs.get("name"), node.attrs.get("property")) and node.attrs.get("content"):
-                return node.attrs["content"]
-    return None
+def _meta(metas: dict[str, str], *names: str) -> str | None:
+    return next((metas[n] for n in names if n in metas), None)
+
+
+def _metas(root: Node) -> dict[str, str]:
+    """First content of each name or property."""
+    out: dict[str, str] = {}
+    for node in root.walk():
+        if node.tag == "meta" and node.attrs.get("content"):
+            for name in (node.attrs.get("name"), node.attrs.get("property")):
+                if name:
+                    out.setdefault(name, node.attrs["content"])
+    return out
 
 
 def _resolve(base: str, href: str) -> str | None:
@@ -128,6 +135,7 @@ def extract_page(source: str | None, url: str, focus: str = "full", images: bool
     nodes = list(root.walk())
     body = next((n for n in nodes if n.tag == "body"), root)
     parts = _container(root, body, focus)
+    metas = _metas(root)
     first = lambda tag: next((n for n in nodes if n.tag == tag), None)
     h1, lang, canonical, author, stamp = first("h1"), first("html"), None, None, None
     for n in nodes:
@@ -137,7 +145,7 @@ def extract_page(source: str | None, url: str, focus: str = "full", images: bool
             author = author or n.text().strip()
         if n.tag == "time" and n.attrs.get("datetime"):
             stamp = stamp or n.attrs["datetime"]
-    title = (h1.text().strip() if h1 is not None else "") or "".join(n.text() for n in nodes if n.tag == "title").strip() or _meta(root, "og:title") or "Untitled"
+    title = (h1.text().strip() if h1 is not None else "") or "".join(n.text() for n in nodes if n.tag == "title").strip() or _meta(metas, "og:title") or "Untitled"
     headings = [{"level": int(n.tag[1]), "text": n.text().strip(), "id": n.attrs.get("id") or None} for p in parts for n in p.walk() if n.tag in HEADINGS]
     links, host = [], urlsplit(url).hostname
     for n in (n for p in parts for n in p.walk() if n.tag == "a"):
@@ -148,7 +156,7 @@ def extract_page(source: str | None, url: str, focus: str = "full", images: bool
     return {
         "url": url,
         "title": title,
-        "description": _meta(root, "description") or _meta(root, "og:description") or "",
+        "description": _meta(metas, "description") or _meta(metas, "og:description") or "",
         "markdown": resolve_links(convert(inner, images), url),
         "html": inner,
         "text": "".join(p.text() for p in parts),
@@ -156,13 +164,13 @@ def extract_page(source: str | None, url: str, focus: str = "full", images: bool
         "headings": headings,
         "links": links,
         "metadata": {
-            "author": _meta(root, "author") or author,
-            "published_date": _meta(root, "article:published_time") or stamp,
+            "author": _meta(metas, "author") or author,
+            "published_date": _meta(metas, "article:published_time") or stamp,
             "language": lang.attrs.get("lang") if lang is not None else None,
-            "og_image": _meta(root, "og:image"),
+            "og_image": _meta(metas, "og:image"),
             "canonical": canonical,
-            "site_name": _meta(root, "og:site_name"),
-            "version": _meta(root, "version") or _meta(root, "doc-version"),
+            "site_name": _meta(metas, "og:site_name"),
+            "version": _meta(metas, "version") or _meta(metas, "doc-version"),
         },
         "images": pictures,
         "has_article": any(n.tag == "article" for n in nodes),
@@ -171,25 +179,45 @@ def extract_page(source: str | None, url: str, focus: str = "full", images: bool
     }
 
 
-def _batches(focus: str, images: bool, kind: pa.StructType):
+def _row(source: str | None, url: str, focus: str, images: bool) -> dict:
+    """A page that cannot be read becomes a row with its error, instead of the end of the task."""
+    try:
+        return extract_page(source, url, focus, images)
+    except Exception as e:  # noqa: BLE001
+        return {"url": url, "error": f"{type(e).__name__}: {e}"}
+
+
+def _batches(focus: str, images: bool, kind: pa.StructType, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # a few hundred pages at a time: trees are larger than their pages
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                rows = [extract_page(h, u or "", focus, images) for u, h in zip(part["url"].to_pylist(), part["html"].to_pylist())]
-                yield pa.RecordBatch.from_struct_array(pa.array(rows, kind))
+                rows = [_row(h, u or "", focus, images) for u, h in zip(part["__url"].to_pylist(), part["__html"].to_pylist())]
+                fields = pa.array(rows, kind)
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *fields.flatten()], names=[*keep, *(f.name for f in kind)])
 
     return run
 
 
-def extract(pages: DataFrame, focus: str = "full", images: bool = False) -> DataFrame:
-    """Structured pages of (url, html); only these two columns cross to Python."""
+def extract(pages: DataFrame, focus: str = "full", images: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Structured pages of (url, html); only these two and the columns to keep cross to Python.
+
+    A null url is an empty one, null html an empty page; repeated rows are all
+    kept.  A page that fails has nulls and an ``error``.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = T.StructType.fromDDL(SCHEMA)
-    raw = pages.select("url", "html").mapInArrow(_batches(focus, images, to_arrow_type(schema)), schema)
+    own = T.StructType.fromDDL(SCHEMA)
+    kept = [pages.schema[c] for c in keep]
+    # kept columns move to the front under names of their own
+    names = [f"__k{i}" for i in range(len(kept))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, kept)] + own.fields)
+    rows = pages.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col("url").alias("__url"), F.col("html").alias("__html"))
+    raw = rows.mapInArrow(_batches(focus, images, to_arrow_type(own), names), schema)
     code = F.transform("code_blocks", lambda b: b.withField("language", F.coalesce(b["language"], C.code_language(b["code"]))))
     meta = F.col("metadata").withField("type", C.content_type(F.col("url"), F.col("has_article"), F.col("has_readme")))
     meta = meta.withField("framework", C.framework(F.col("body"), F.col("url"))).withField("version", F.coalesce("metadata.version", C.version(F.col("body"))))
-    return raw.withColumns({"code_blocks": code, "text": C.clean(F.col("text")), "metadata": meta}).drop("has_article", "has_readme", "body")
+    out = raw.withColumns({"code_blocks": code, "text": C.clean(F.col("text")), "metadata": meta}).drop("has_article", "has_readme", "body")
+    fields = [f.name for f in own.fields if f.name not in ("has_article", "has_readme", "body")]
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), *fields)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import columns as C
+from loomtext.operators import crawl as crawling
 from loomtext.operators import documents as D
-from loomtext.operators import extract, rate
+from loomtext.operators import extract, output, rate
 from loomtext.sources import web
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,7 +96,7 @@ def summary3(spark: SparkSession, sf: str) -> DataFrame:
 @_query("""SELECT doc_id, used FROM (SELECT doc_id, sum(ceil(length(text) / 4.0)) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS used FROM documents) WHERE used <= 8000""")
 def context_budget(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents").select("doc_id", "source", C.estimated_tokens(F.col("text")).alias("tokens"))
-    return D.within_budget(docs, 8000, "source", "doc_id").select("doc_id", "used")
+    return output.within_budget(docs, 8000, "source", "doc_id").select("doc_id", "used")
 
 
 @_query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens, substring(sha256(concat_ws(':', source, doc_id::VARCHAR, substring(text, 1, 64))), 1, 16) AS id FROM documents")
@@ -105,14 +106,12 @@ def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"SELECT page_id, {_TEXT} AS text FROM pages")
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _t(spark, sf, "pages")
-    return extract.extract(pages).select("url", "text").join(pages.select("page_id", "url"), "url").select("page_id", "text")
+    return extract.extract(_t(spark, sf, "pages"), keep=("page_id",)).select("page_id", "text")
 
 
 @_query(r"""SELECT page_id, trim(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', chr(34)), '&amp;', '&')) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, 'blog-post' AS type FROM pages""")
 def page_fields(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _t(spark, sf, "pages")
-    return extract.extract(pages).select("url", "title", F.col("metadata.language").alias("lang"), F.col("metadata.type").alias("type")).join(pages.select("page_id", "url"), "url").select("page_id", "title", "lang", "type")
+    return extract.extract(_t(spark, sf, "pages"), keep=("page_id",)).select("page_id", "title", F.col("metadata.language").alias("lang"), F.col("metadata.type").alias("type"))
 
 
 @_query()
@@ -126,38 +125,146 @@ def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return D.chunk(pages)
 
 
-def _as_pages(spark: SparkSession, sf: str) -> DataFrame:
-    heads = F.array().cast("array<struct<level:int,text:string,id:string>>")
-    return _t(spark, sf, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.col("text").alias("markdown"), heads.alias("headings"))
+def _conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Each conversation as a Markdown document with headings and code fences."""
+    fence, t = "`" * 3, F.col("turn").cast("string")
+    code = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(f"\n\n{fence}python\n# not a heading "), t, F.lit("\nprint("), t, F.lit(f")\n{fence}"))).otherwise("")
+    title = F.concat(F.lit("Turn "), t, F.lit(" "), "role")
+    turns = _t(spark, sf, "conversations").select("conv_id", F.struct("turn", title.alias("title"), F.concat(F.lit("## "), title, F.lit("\n\n"), "text", code).alias("part")).alias("x"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    head = F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))
+    item = lambda level, text: F.struct(F.lit(level).alias("level"), text.alias("text"), F.lit(None).cast("string").alias("id"))
+    return rows.select(
+        F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("url"),
+        head.alias("title"),
+        F.concat(F.lit("# "), head, F.lit("\n\n"), F.array_join(F.transform("xs", lambda x: x["part"]), "\n\n")).alias("markdown"),
+        F.concat(F.array(item(1, head)), F.transform("xs", lambda x: item(2, x["title"]))).alias("headings"),
+    )
+
+
+_N = "chr(10)"
+_FENCE = "repeat(chr(96), 3)"
+_TOKENS_OF = "ceil(length({0}) / 4.0)"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def _packed_sql(parts: str, join: str) -> str:
+    """The fold of chunk packing over a list of parts."""
+    both = f"s.held || {join} || x"
+    return f"list_reduce({parts}, lambda s, x: CASE WHEN s.held <> '' AND {_TOKENS_OF.format(both)} > 1500 THEN {{'done': list_append(s.done, s.held), 'held': x}} ELSE {{'done': s.done, 'held': CASE WHEN s.held <> '' THEN {both} ELSE x END}} END, {{'done': []::VARCHAR[], 'held': ''}})"
+
+
+def _solid(list_: str) -> str:
+    return f"list_filter({list_}, lambda x: {_STRIP.format('x')} <> '')"
+
+
+def _chunk_sql(strategy: str) -> str:
+    code = f"{_FENCE} || 'python' || {_N} || {{gap}} || '# not a heading ' || turn || {_N} || 'print(' || turn || ')' || {_N} || {_FENCE}"
+    with_code = lambda gap: f"'## Turn ' || turn || ' ' || role || {_N} || {_N} || text || CASE WHEN turn % 3 = 0 THEN {_N} || {_N} || {code.format(gap=gap)} ELSE '' END"
+    made = {
+        "semantic": (f"list_transform(list_prepend(head, parts), lambda x, i: CASE WHEN i <= len(parts) THEN x || {_N} ELSE x END)", f"{_N} || {_N}"),
+        "paragraph": (_solid(r"regexp_split_to_array(md, '\n\n+')"), f"{_N} || {_N}"),
+        "fixed": (f"string_split(md, {_N})", _N),
+    }
+    if strategy == "heading":  # cut at what looks like a heading in a fence too, and joined again for the fence's sake
+        first = f"SELECT *, {_solid(f'list_transform(list_prepend(head, split_parts), lambda x: {_STRIP.format("x")})')} AS chunks FROM docs"
+    else:
+        parts, join = made[strategy]
+        first = f"SELECT *, {_solid('list_append(r.done, r.held)')} AS chunks FROM (SELECT *, {_packed_sql(parts, join)} AS r FROM docs)"
+    return f"""WITH turns AS (SELECT conv_id, turn, {with_code("''")} AS part, {with_code(_N)} AS split_part FROM conversations),
+docs AS (SELECT *, head || {_N} || {_N} || array_to_string(parts, {_N} || {_N}) AS md FROM (SELECT conv_id, '# Conversation ' || conv_id AS head, list(part ORDER BY turn) AS parts, list(split_part ORDER BY turn) AS split_parts FROM turns GROUP BY conv_id)),
+packed AS ({first}), each_chunk AS (SELECT conv_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS i FROM packed),
+small AS (SELECT conv_id, i, CASE WHEN {_TOKENS_OF.format('c')} <= 1500 THEN [c] ELSE {_solid('list_append(r.done, r.held)')} END AS pieces FROM (SELECT *, {_packed_sql(f"string_split(c, {_N})", _N)} AS r FROM each_chunk)),
+pieces AS (SELECT conv_id, flatten(list(pieces ORDER BY i)) AS p FROM small GROUP BY conv_id),
+numbered AS (SELECT conv_id, unnest(p) AS c, generate_subscripts(p, 1) - 1 AS k, len(p) AS total FROM pieces),
+tails AS (SELECT *, CASE WHEN length(n) <= 400 THEN n WHEN strpos(right(n, 401), ' ') = 0 THEN '' ELSE substr(right(n, 401), strpos(right(n, 401), ' ') + 1) END AS tail FROM (SELECT *, trim(regexp_replace(c, '\\s+', ' ', 'g')) AS n FROM numbered)),
+done AS (SELECT conv_id, k, total, CASE WHEN before <> '' THEN before || {_N} || c ELSE c END AS content FROM (SELECT *, coalesce(lag(tail) OVER (PARTITION BY conv_id ORDER BY k), '') AS before FROM tails))
+SELECT substring(sha256(concat_ws(':', 'conv:' || conv_id, k::VARCHAR, substring(content, 1, 64))), 1, 16) AS id, 'conv:' || conv_id AS source_url, 'Conversation ' || conv_id AS title, content, {_TOKENS_OF.format('content')}::INTEGER AS tokens, k::INTEGER AS chunk_index, total::INTEGER AS total_chunks,
+regexp_matches(content, '(?s)' || {_FENCE} || '.*?' || {_FENCE}) AS has_code, nullif(regexp_extract(content, {_FENCE} || '(\\w+)', 1), '') AS language FROM done"""
 
 
 def _chunks(strategy: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return D.chunk(_as_pages(spark, sf), strategy)
+        return D.chunk(_conversations(spark, sf), strategy).drop("heading_path", "tokenizer")
 
     QUERIES[f"chunk_{strategy}"] = run
+    ORACLE_SQL[f"chunk_{strategy}"] = _chunk_sql(strategy)
 
 
 for _s in ("semantic", "heading", "paragraph", "fixed"):
     _chunks(_s)
 
 
+def _export_sql(target: str) -> str:
+    """Fields of the records as columns, so that no spelling of JSON is compared."""
+    return f"SELECT id, '{target}' AS target, content, source_url AS source, title, chunk_index AS \"chunkIndex\", {'' if target == 'chroma' else 'total_chunks AS "totalChunks", '}has_code AS \"hasCode\", coalesce(language, '') AS language, tokens FROM ({_chunk_sql('fixed')})"
+
+
 def _exports(target: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return D.exported(D.chunk(_as_pages(spark, sf), "fixed"), target)
+        rows = output.exported(D.chunk(_conversations(spark, sf), "fixed"), target)
+        at = {"pinecone": "metadata", "chroma": "metadata", "weaviate": "properties", "qdrant": "payload", "json": "metadata"}[target]
+        read = lambda path: F.get_json_object("record", f"$.{path}")
+        content = read("document" if target == "chroma" else "content" if target == "json" else f"{at}.content")
+        source = read(f"{at}.{'sourceUrl' if target == 'json' else 'source'}")
+        tokens = read("tokens" if target == "json" else f"{at}.tokens").cast("int")
+        whole = [read(f"{at}.{c}").cast("int").alias(c) for c in ("chunkIndex", "totalChunks")[: 1 if target == "chroma" else 2]]
+        return rows.select("id", F.lit(target).alias("target"), content.alias("content"), source.alias("source"), read(f"{at}.title").alias("title"), *whole, read(f"{at}.hasCode").cast("boolean").alias("hasCode"), F.coalesce(read(f"{at}.language"), F.lit("")).alias("language"), tokens.alias("tokens"))
 
     QUERIES[f"export_{target}"] = run
+    ORACLE_SQL[f"export_{target}"] = _export_sql(target)
 
 
-for _s in ("pinecone", "chroma", "weaviate", "qdrant"):
+for _s in output.TARGETS:
     _exports(_s)
 
 
-@_query("""SELECT doc_id, '<context source="' || source || '" tokens="' || ceil(length(text) / 4.0)::BIGINT || '">' || chr(10) || text || chr(10) || '</context>' AS rendered FROM documents""")
-def template_llm(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _t(spark, sf, "documents")
-    fields: dict[str, Column] = {"url": F.col("source"), "tokens": C.estimated_tokens(F.col("text")), "markdown": F.col("text")}
-    return D.render(docs, "llm", fields).select("doc_id", "rendered")
+def _template(name: str) -> None:
+    sql = "'" + output.TEMPLATES[name].replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for field, expr in (("url", "source"), ("title", "lang"), ("markdown", "text"), ("summary", "'about ' || doc_id"), ("tokens", "ceil(length(text) / 4.0)::BIGINT")):
+        sql = sql.replace(f"{{{{{field}}}}}", f"' || {expr} || '")
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        docs = _t(spark, sf, "documents").select("doc_id", F.col("lang").alias("title"), F.col("source").alias("url"), F.col("text").alias("markdown"), F.concat(F.lit("about "), F.col("doc_id").cast("string")).alias("description"))
+        return output.Templates().pages(docs, name).select("doc_id", "rendered")
+
+    key = "template_" + name.replace("-", "_")
+    QUERIES[key] = run
+    ORACLE_SQL[key] = f"SELECT doc_id, {sql} AS rendered FROM documents"
+
+
+for _s in output.TEMPLATES:
+    _template(_s)
+
+
+@_query(f"""WITH d AS (SELECT source, doc_id, text, ceil(length(text) / 4.0)::BIGINT AS tokens, '# ' || source || chr(10) || chr(10) || '> of ' || source || chr(10) || chr(10) || '> ' || count(*) OVER w || ' pages | ' || sum(ceil(length(text) / 4.0))::BIGINT OVER w || ' tokens | ' || 'unknown' || chr(10) || chr(10) AS head FROM documents WINDOW w AS (PARTITION BY source)),
+k AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY doc_id) + ceil(length(head) / 4.0) AS used FROM d)
+SELECT source, {_STRIP.format("any_value(head) || coalesce(string_agg(CASE WHEN doc_id % 2 = 0 THEN '## even > ' || doc_id || chr(10) || chr(10) ELSE '' END || text || chr(10) || chr(10), '' ORDER BY doc_id) FILTER (used <= 8000), '')")} AS context FROM k GROUP BY source""".replace("sum(ceil(length(text) / 4.0))::BIGINT OVER w", "(sum(ceil(length(text) / 4.0)) OVER w)::BIGINT"))
+def context_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A packet for each source, of all its documents."""
+    docs = _t(spark, sf, "documents").withColumn("tokens", C.estimated_tokens(F.col("text")))
+    packets = docs.groupBy("source").agg(F.count(F.lit(1)).alias("page_count"), F.sum("tokens").alias("total_tokens")).select("source", F.concat(F.lit("of "), "source").alias("summary"), "page_count", "total_tokens", F.lit(None).cast("string").alias("content_type"))
+    path = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("even"), F.col("doc_id").cast("string"))).otherwise(F.array().cast("array<string>"))
+    chunks = docs.select("source", F.col("doc_id").alias("seq"), path.alias("heading_path"), F.col("text").alias("content"), "tokens")
+    return output.context_text(packets, chunks, 8000)
+
+
+_SITE = "'https://site.example/p/'"
+
+
+@_query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), p AS (SELECT page_id, {_TEXT} || '' AS text FROM pages),
+r(id, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT id * 3 + k, depth + 1 FROM r, n, (VALUES (1), (2), (3)) c(k) WHERE depth < 4 AND id * 3 + k < n.n)
+SELECT {_SITE} || id AS url, depth::INTEGER AS depth, least(3, greatest(0, n.n - (id * 3 + 1)))::INTEGER AS links, h.title FROM r, n, (SELECT page_id, {r"trim(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', chr(34)), '&amp;', '&'))"} AS title FROM pages) h WHERE h.page_id = r.id""")
+def crawl_site(spark: SparkSession, sf: str) -> DataFrame:
+    """A crawl of all pages as one site, in which each page links to three others."""
+    pages = _t(spark, sf, "pages")
+    n = pages.count()
+    link = lambda k: F.when(F.col("page_id") * 3 + k < n, F.concat(F.lit('<p><a href="/p/'), (F.col("page_id") * 3 + k).cast("string"), F.lit(f'">next {k}</a></p>'))).otherwise("")
+    links = F.concat(*(link(k) for k in (1, 2, 3)), F.lit("<p>page "), F.col("page_id").cast("string"), F.lit("</p></article>"))
+    site = pages.select(F.concat(F.lit("https://site.example/p/"), F.col("page_id").cast("string")).alias("url"), F.regexp_replace("html", "</article>", links).alias("html"))
+    start = spark.createDataFrame([("https://site.example/p/0", 0)], "url string, seq long")
+    got = crawling.crawl(start, web.stored(site), depth=4, max_pages=10_000)
+    return got.pages.select("url", "depth", F.size(F.filter("links", lambda x: x["is_internal"])).alias("links"), "title")
 
 
 @_query("SELECT page_id, (lower(url) LIKE '%.pdf' OR url LIKE '%/pdf/%' OR url LIKE '%application/pdf%') AS pdf, (url LIKE '%/en/%' OR url LIKE '%/fr/%') AND NOT url LIKE '%page=%' AS matched FROM pages")
@@ -202,23 +309,36 @@ def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return rate.token_bucket(events.select("id", "key", (F.col("us") / 1e6).alias("at")))
 
 
-_CRON = ("*/5 * * * *", "0 */2 * * *", "0 9 * * MON", "0 * * * *", "* * * * *", "0 9 1 * *", "5")
+_CRON = ("*/5 * * * *", "0 */2 * * *", "0 9 * * MON", "0 9 * * *", "0 * * * *", "* * * * *", "0 9 1 * *", "5")
 
 
-@_query("SELECT * FROM (VALUES ('*/5 * * * *', 300::BIGINT), ('0 */2 * * *', 7200), ('0 9 * * MON', 86400), ('0 * * * *', 3600), ('* * * * *', 60), ('0 9 1 * *', 3600), ('5', 3600)) t(cron, seconds)")
+@_query("""SELECT event_id, cron, CASE event_id % 4 WHEN 0 THEN minute * 60 WHEN 1 THEN hour * 3600 WHEN 2 THEN 86400 ELSE 3600 END::BIGINT AS seconds FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN '*/' || minute || ' * * * *' WHEN 1 THEN '0 */' || hour || ' * * *' WHEN 2 THEN minute || ' ' || hour || ' * * *' ELSE minute || ' * * * *' END AS cron FROM (SELECT event_id, event_id % 59 + 1 AS minute, event_id % 23 + 1 AS hour FROM events))""")
 def cron_interval(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in _CRON], "cron string").withColumn("seconds", C.cron_seconds(F.col("cron")))
+    """Four kinds of expressions with the numbers of each event."""
+    n = F.col("event_id")
+    minute, hour = ((n % 59 + 1).cast("string"), (n % 23 + 1).cast("string"))
+    kinds = F.when(n % 4 == 0, F.concat(F.lit("*/"), minute, F.lit(" * * * *"))).when(n % 4 == 1, F.concat(F.lit("0 */"), hour, F.lit(" * * *"))).when(n % 4 == 2, F.concat_ws(" ", minute, hour, F.lit("* * *"))).otherwise(F.concat(minute, F.lit(" * * * *")))
+    return _t(spark, sf, "events").select("event_id", kinds.alias("cron")).withColumn("seconds", C.cron_seconds(F.col("cron")))
 
 
-@_query("SELECT 'https://github.com/o/r/tree/main/docs/a' AS url, 'o' AS owner, 'r' AS repo, 'main' AS branch, 'docs/a' AS path")
+@_query("""SELECT doc_id, doc_id % 3 < 2 AS is_repo, CASE WHEN doc_id % 3 < 2 THEN source END AS owner, CASE WHEN doc_id % 3 < 2 THEN 'r' || doc_id END AS repo, CASE WHEN doc_id % 3 = 0 THEN lang END AS branch, CASE WHEN doc_id % 3 = 0 THEN 'docs/' || doc_id || '.md' END AS path FROM documents""")
 def repo_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([("https://github.com/o/r/tree/main/docs/a",)], "url string").select("url", C.repo_parts(F.col("url")).alias("p")).select("url", "p.*")
+    """A repository's folder, a repository, and another address for each document."""
+    n = F.col("doc_id").cast("string")
+    repo = F.concat(F.lit("https://github.com/"), "source", F.lit("/r"), n)
+    url = F.when(F.col("doc_id") % 3 == 0, F.concat(repo, F.lit("/tree/"), "lang", F.lit("/docs/"), n, F.lit(".md"))).when(F.col("doc_id") % 3 == 1, repo).otherwise(F.concat(F.lit("https://git.example/"), "source", F.lit("/r"), n))
+    rows = _t(spark, sf, "documents").select("doc_id", url.alias("url"))
+    return rows.select("doc_id", C.is_repo(F.col("url")).alias("is_repo"), C.repo_parts(F.col("url")).alias("p")).select("doc_id", "is_repo", "p.*")
 
 
-@_query(r"SELECT page_id, h.link AS dst FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: struct_pack(link := x))) AS h FROM pages)")
-def nav_links_raw(spark: SparkSession, sf: str) -> DataFrame:
-    """Links before noise is removed."""
-    return _t(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("dst"))
+@_query(r"""WITH l AS (SELECT page_id, url, unnest(list_zip(regexp_extract_all(html, '<a href="([^"]*)">[^<]+</a>', 1), regexp_extract_all(html, '<a href="[^"]*">([^<]+)</a>', 1))) AS h FROM pages)
+SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || h[1] AS href, h[2] AS text, true AS is_internal FROM l""")
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The links of all pages, whose menus are moved into the article, where they are no noise."""
+    moved = F.concat(F.lit("<article>"), F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1))
+    pages = _t(spark, sf, "pages").select("page_id", "url", F.replace("html", F.lit("<article>"), moved).alias("html"))
+    rows = extract.extract(pages, keep=("page_id",)).select("page_id", F.explode("links").alias("l"))
+    return rows.select("page_id", "l.href", "l.text", "l.is_internal")
 
 
 @_query("""WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey * 100 AS src, n_nationkey AS dst FROM nation UNION SELECT DISTINCT n_nationkey, 1000 + s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey),
@@ -230,30 +350,45 @@ def bfs_levels(spark: SparkSession, sf: str) -> DataFrame:
     return D.crawl_levels(spark.createDataFrame([("100",)], "url string"), one.union(two).distinct(), 3)
 
 
-@_query(r"""SELECT url, sha256('# ' || url || chr(10) || '# ' || (page_id // 2)) <> sha256('# ' || url || chr(10) || '# ' || page_id) AS changed,
-list_filter(['' || url, '' || page_id], lambda h: h NOT IN (url, '' || page_id // 2)) AS added, list_filter([url, '' || page_id // 2], lambda h: h NOT IN (url, '' || page_id)) AS removed FROM pages""")
+@_query("""WITH t AS (SELECT conv_id, turn, 'Turn ' || turn || ' ' || role AS now, CASE WHEN turn % 2 = 0 THEN 'Turn ' || turn || ' ' || role ELSE 'Was ' || turn || ' ' || role END AS old FROM conversations)
+SELECT 'conv:' || conv_id AS url, count(*) FILTER (turn % 2 = 1) > 0 AS changed, coalesce(list(now ORDER BY turn) FILTER (turn % 2 = 1), []) AS added, coalesce(list(old ORDER BY turn) FILTER (turn % 2 = 1), []) AS removed FROM t GROUP BY conv_id""")
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _t(spark, sf, "pages")
-    text = lambda n: F.concat(F.lit("# "), F.col("url"), F.lit("\n# "), n.cast("string"))
-    return D.diff(pages.select("url", text(F.floor(F.col("page_id") / 2)).alias("markdown")), pages.select("url", text(F.col("page_id")).alias("markdown")))
+    """Each conversation's document, and an earlier state in which the headings of odd turns differ."""
+    now = _conversations(spark, sf).select("url", F.regexp_replace("markdown", r"(?m)^# not a heading.*$", "pass").alias("markdown"))
+    old = now.select("url", F.regexp_replace("markdown", r"(?m)^## Turn (\d*[13579]) ", r"## Was $1 ").alias("markdown"))
+    return D.diff(old, now)
 
 
-@_query("SELECT 'https://h/a' AS url, '2024-01-01' AS lastmod, NULL::VARCHAR AS changefreq, 0.8::DOUBLE AS priority UNION ALL SELECT 'https://h/b', NULL, 'daily', NULL")
+@_query("""SELECT 'https://h' || n_regionkey || '/n' || n_nationkey AS url, '2024-01-' || lpad((n_nationkey + 1)::VARCHAR, 2, '0') AS lastmod, CASE WHEN n_nationkey % 2 = 0 THEN 'daily' END AS changefreq, CASE WHEN n_nationkey % 2 = 1 THEN n_nationkey / 100 END::DOUBLE AS priority FROM nation UNION ALL
+SELECT 'https://h/a?x=' || r_regionkey || '&y=<1>', NULL, NULL, NULL FROM region""")
 def sitemap(spark: SparkSession, sf: str) -> DataFrame:
-    xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://h/a</loc><lastmod>2024-01-01</lastmod><priority>0.8</priority></url><url><loc>https://h/b</loc><changefreq>daily</changefreq></url></urlset>'
-    index = "<sitemapindex><sitemap><loc>https://h/s.xml</loc></sitemap></sitemapindex>"
-    rows = spark.createDataFrame([("https://h/i.xml", index), ("https://h/s.xml", xml)], "url string, xml string")
-    return web.read_sitemaps(rows, "https://h/i.xml")
-
-
-@_query("SELECT * FROM (VALUES ('https://h/a', true), ('https://h/private/x', false), ('https://h/private/open/y', true)) t(url, allowed)")
+    """An index that lists one index, which lists a sitemap of nations for each region; one of them lists the first again."""
+    nation, region = _t(spark, sf, "nation"), _t(spark, sf, "region")
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    key = F.col("n_nationkey")
+    more = F.when(key % 2 == 0, tag("changefreq", F.lit("daily"))).otherwise(tag("priority", (key / 100).cast("string")))
+    entry = tag("url", F.concat(tag("loc", F.concat(F.lit("https://h"), F.col("n_regionkey").cast("string"), F.lit("/n"), key.cast("string"))), tag("lastmod", F.concat(F.lit("2024-01-"), F.lpad((key + 1).cast("string"), 2, "0"))), more))
+    own = region.select(F.col("r_regionkey").alias("n_regionkey"), tag("url", tag("loc", F.concat(F.lit("https://h/a?x="), F.col("r_regionkey").cast("string"), F.lit("&amp;y=&lt;1&gt;")))).alias("e"))
+    sets = nation.select("n_regionkey", entry.alias("e")).unionByName(own).groupBy(F.concat(F.lit("https://h/s"), F.col("n_regionkey").cast("string")).alias("url")).agg(tag("urlset", F.array_join(F.collect_list("e"), "")).alias("xml"))
+    listed = F.array_join(F.collect_list(tag("sitemap", tag("loc", F.col("url")))), "")
+    index = sets.agg(F.lit("https://h/i2").alias("url"), tag("sitemapindex", F.concat(listed, tag("sitemap", tag("loc", F.lit("https://h/i1"))))).alias("xml"))
+    root = spark.createDataFrame([("https://h/i1", "<sitemapindex><sitemap><loc>https://h/i2</loc></sitemap></sitemapindex>")], "url string, xml string")
+    return web.read_sitemaps(sets.unionByName(index).unionByName(root), "https://h/i1")
+
+
+@_query(r"""WITH u AS (SELECT page_id, url, lower(url) AS l FROM pages) SELECT page_id, NOT (url LIKE '%/en/%' AND NOT regexp_matches(url, '^[a-z]+://[^/]+/en/[0-9]*5$')) AND NOT url LIKE '%page=%' AS allowed FROM u""")
 def robots(spark: SparkSession, sf: str) -> DataFrame:
-    rules = web.robots_rules(spark.createDataFrame([("https://h", "User-agent: *\nDisallow: /private\nAllow: /private/open # note")], "origin string, body string"))
-    return web.allowed(spark.createDataFrame([("https://h/a",), ("https://h/private/x",), ("https://h/private/open/y",)], "url string"), rules)
+    """Rules for one agent on each host of the pages, with a wildcard and an end mark; those for all agents don't hold for it."""
+    pages = _t(spark, sf, "pages")
+    hosts = pages.select(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1).alias("origin")).distinct()
+    body = "User-agent: *\nDisallow: /\n\nUser-agent: other\nUser-Agent: LoomBot/1.0\nDisallow: /en/ # all\nAllow: /en/*5$\nDisallow: /*page="
+    judged = web.allowed(pages.select("page_id", "url"), web.robots_rules(hosts.withColumn("body", F.lit(body))), "loombot")
+    return judged.select("page_id", "allowed")
 
 
-@_query("SELECT 1 AS level, h AS text FROM (VALUES ('1. Intro'), ('INTRODUCTION')) t(h)")
+@_query(r"""SELECT doc_id, CASE WHEN upper(source) SIMILAR TO '[A-Z][A-Z\s]{3,}' THEN [upper(source)] ELSE [] END || ['1. ' || upper(left(lang, 1)) || substr(lang, 2)] AS headings FROM documents""".replace("\\s", "\s"))
 def pdf_headings(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("1. Intro\nINTRODUCTION\n1.2 Foo\nABC\nTHE END.",)], "text string")
-    return rows.select(F.explode(web.pdf_headings(F.col("text"))).alias("h")).select("h.level", "h.text")
-
+    """Of each document's text with two lines that are headings before it and some that are not."""
+    head = F.concat_ws("\n", F.upper("source"), F.concat(F.lit("1. "), F.initcap("lang")), F.lit("1.2 Sub\nABC\nTHE END."))
+    rows = _t(spark, sf, "documents").select("doc_id", F.concat(head, F.lit("\n"), F.regexp_replace("text", r"(?m)^(\d+\.\s+[A-Z]|[A-Z][A-Z\s]{3,}$).*", "x.")).alias("text"))
+    return rows.select("doc_id", F.transform(web.pdf_headings(F.col("text")), lambda h: h["text"]).alias("headings"))
