@@ -1,38 +1,38 @@
 """Byte-level BPE encoding and decoding with a public vocabulary.
 
 Encoding: texts are cut to words by the vocabulary's pattern.  Distinct words
-are counted over the whole corpus, and each is encoded once: a Spark
-``aggregate`` folds merges over the array of its bytes, at each step joining
-the neighbours of lowest rank, with the ranks in a literal map (two places
-by hash, so that a lookup takes one step).  Bytes are kept as characters U+0000 to
-U+00FF.  Texts then take their words' ids from the encoded words, in place,
-without a shuffle of the corpus: the most frequent words travel to the tasks,
-as many as ``dictionary_bytes`` hold; words beyond are merged by the same ranks
-where they occur.  Both give the same ids, so the limit moves work only.
+are counted over the whole corpus, and the most frequent ones, as many as
+``dictionary_bytes`` hold, are encoded once: a Spark ``aggregate`` folds merges
+over the array of a word's bytes, at each step joining the neighbours of lowest
+rank, with the ranks in a literal map (two places by hash, so that a lookup
+takes one step).  Bytes are kept as characters U+0000 to U+00FF.  The encoded
+words travel to the tasks, where texts take their ids from them without a
+shuffle of the corpus; the distinct words of a text that are not among them are
+folded there by the same expression.  So the limit moves work only.
 
 Decoding: the pieces of the ids are joined to one byte string, which is UTF-8.
 
 A null text has null ids; an empty one has none.  Strings that look like
 special tokens are ordinary text.  Repeated rows are all kept; further columns
-pass through, and a column named like a new one is replaced.  A word is folded
-whole, however long.
+pass through, and a column named like a new one is replaced.  The fold takes the
+square of a word's length; words of more than ``LONG_WORD`` bytes, which are no
+words of a language, are merged by the same ranks from a heap, to the same ids.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomtext.llm.words import slices
-from loomtext.runtime import scratch
+from loomtext.llm.words import _buffers, _power_tables, mix64
+from loomtext.runtime import release, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Java spelling of the vocabulary's pattern; (?U) makes \s as wide as elsewhere.
@@ -42,8 +42,10 @@ SLOTS = 1 << 17
 NONE = 2147483647
 SHIFT = 1 << 31
 DICTIONARY_BYTES = 48 << 20
-#: Text whose words are looked up at once.
-SLICE_BYTES = 4 << 20
+LONG_WORD = 1 << 10
+#: Words that are looked up, and bytes that are hashed, at once.
+SLICE_WORDS = 1 << 19
+HASHED_BYTES = 1 << 18
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[str, int]:
@@ -137,7 +139,7 @@ class Vocabulary:
 
 
 def merge_bytes(word: str, ranks: dict[str, int]) -> list[int]:
-    """Ids of a word in plain Python; a heap keeps very long words from taking the square of their length."""
+    """Ids of a very long word; a heap keeps it from taking the square of its length."""
     import heapq
 
     text = word.encode().decode("latin-1")
@@ -166,21 +168,17 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def encoded_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
-    """(word, n, ids) of all distinct words of the corpus."""
-    words = docs.select(F.explode(split_words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    # merging is work for the CPU, not for the reader of few bytes: it is spread over all tasks
-    words = words.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return scratch(words.select("word", "n", vocabulary.fold(F.col("word")).alias("ids")), "words")
+def counted_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) of all distinct words of the corpus."""
+    return docs.select(F.explode(split_words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def frequent(words: DataFrame, limit: int) -> DataFrame:
-    """The words of at least such a count that all of them together take no more than ``limit`` bytes."""
-    cost = F.sum(F.octet_length("word") + 4 * F.size("ids") + 8).alias("cost")
-    # counts are grouped by powers of 2^(1/4), so that the driver sees a few hundred rows at any size
-    band = F.floor(F.log2("n") * 4).cast("int")
+def frequent(words: DataFrame, cost: Column, limit: int) -> DataFrame:
+    """The words of at least such a count that all of them together cost no more than ``limit`` bytes."""
+    # counts are grouped by powers of 2^(1/8), so that the driver sees a few hundred rows at any size
+    band = F.floor(F.log2("n") * 8).cast("int")
     floor, total = None, 0
-    for b, c in sorted(words.groupBy(band.alias("b")).agg(cost).collect(), reverse=True):
+    for b, c in sorted(words.groupBy(band.alias("b")).agg(F.sum(cost)).collect(), reverse=True):
         total += c
         if total > limit:
             break
@@ -188,57 +186,129 @@ def frequent(words: DataFrame, limit: int) -> DataFrame:
     return words.where(F.lit(False) if floor is None else band >= floor)
 
 
-def _encode_batches(table, ranks, schema: pa.Schema, text_col: str, out: str):  # noqa: ANN001
-    state: dict = {}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not state:
-            known = pa.ipc.open_stream(table.value).read_all().combine_chunks()
-            ids = known.column("ids").combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            state["words"] = known.column("word")
-            state["ids"] = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            state["ptr"] = ids.offsets.to_numpy().astype(np.int64) if len(ids) else np.zeros(1, np.int64)
-            state["ptr"] = state["ptr"] - state["ptr"][0]
-        for batch in slices(batches, text_col, SLICE_BYTES):
-            lists = batch.column("__words")
-            coded = lists.flatten().dictionary_encode()
-            words = coded.dictionary
-            at = pc.fill_null(pc.index_in(words, value_set=state["words"]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            rare = np.flatnonzero(at < 0)
-            extra = [merge_bytes(w, ranks.value) for w in words.take(pa.array(rare)).to_pylist()]
-            ids = np.concatenate([state["ids"], np.array([i for x in extra for i in x], np.int32)])
-            ends = len(state["ids"]) + np.cumsum([len(x) for x in extra], dtype=np.int64)
-            begin = np.where(at >= 0, state["ptr"][np.maximum(at, 0)], 0)
-            stop = np.where(at >= 0, state["ptr"][np.minimum(at + 1, len(state["ptr"]) - 1)], 0)
-            if len(rare):
-                stop[rare] = ends
-                begin[rare] = np.concatenate(([len(state["ids"])], ends[:-1]))
-            which = coded.indices.to_numpy(zero_copy_only=False)
-            length = (stop - begin)[which]
-            total = np.concatenate(([0], np.cumsum(length)))
-            flat = ids[np.repeat(begin[which] - total[:-1], length) + np.arange(total[-1])]
-            offsets = total[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int32)
-            null = lists.is_null().to_numpy(zero_copy_only=False)
-            new = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([new if f.name == out else batch.column(f.name) for f in schema], names=schema.names)
-
-    return run
+def encoded_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", limit: int = DICTIONARY_BYTES) -> pa.Table:
+    """(word, ids) of the most frequent words, as many as take ``limit`` bytes."""
+    words = scratch(counted_words(docs, text_col), "words")
+    # before folding a word's ids are taken as one for two bytes, afterwards they are counted
+    likely = frequent(words.where(F.octet_length("word") <= LONG_WORD), 3 * F.octet_length("word") + 16, limit)
+    # merging is work for the CPU, not for the reader of few bytes: it is spread over all tasks
+    spread = likely.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    folded = scratch(spread.select("word", "n", vocabulary.fold(F.col("word")).alias("ids")), "folded")
+    out = frequent(folded, F.octet_length("word") + 4 * F.size("ids") + 16, limit).select("word", "ids").toArrow()
+    release(words, folded)
+    return out
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings, some at a time."""
+    data, off = _buffers(words)
+    out = np.empty(len(words), np.uint64)
+    first = 0
+    while first < len(words):
+        last = max(first + 1, int(np.searchsorted(off, off[first] + HASHED_BYTES, side="right")) - 1)
+        part = data[off[first] : off[last]]
+        p, inverse = _power_tables(len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p[: len(part)], out=total[1:])
+        a, b = off[first:last] - off[first], off[first + 1 : last + 1] - off[first]
+        out[first:last] = mix64((total[b] - total[a]) * inverse[a] ^ (b - a).astype(np.uint64))
+        first = last
+    return out
+
+
+class _Dictionary:
+    """Ids of the frequent words by hash; one in each Python worker, its arrays lie in the broadcast bytes."""
+
+    def __init__(self, data: bytes) -> None:
+        rows = pa.ipc.open_stream(data).read_all().combine_chunks()
+        self.hash, words, ids = (rows.column(c).chunk(0) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("h", "word", "ids"))
+        self.hash, self.words = self.hash.to_numpy(), words
+        self.ids = ids.values.to_numpy()
+        self.ptr = ids.offsets.to_numpy() if len(ids) else np.zeros(1, np.int32)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 where it is not known."""
+        if not len(self.hash):
+            return np.full(len(words), -1, np.int64)
+        h = _hashes(words)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        hit = np.flatnonzero(self.hash[at] == h)
+        same = pc.equal(self.words.take(pa.array(at[hit])), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), -1, np.int64)
+        out[hit[same]] = at[hit[same]]
+        return out
+
+
+_dictionaries: dict[str, _Dictionary] = {}
+
+
+def _coded(lists: pa.Array, known: _Dictionary, ranks: dict[str, int]) -> pa.Array:
+    """(codes, rare) of lists of words: ids of known words, and -1 - i for the i-th of the words that the dictionary lacks."""
+    null = lists.is_null().to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    length = np.where(null, 0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), length)
+    coded = flat.dictionary_encode()
+    which, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    at = known.find(words)
+    long = np.flatnonzero((at < 0) & (pc.binary_length(words).to_numpy(zero_copy_only=False) > LONG_WORD))
+    merged = [merge_bytes(w, ranks) for w in words.take(pa.array(long)).to_pylist()]
+    ids, ptr = np.concatenate([known.ids, *(np.array(x, np.int32) for x in merged)]), np.append(known.ptr, known.ptr[-1] + np.cumsum([len(x) for x in merged], dtype=np.int64))
+    at[long] = len(known.hash) + np.arange(len(long))
+    at = at[which]
+    # each row's rare words, once
+    rare = np.flatnonzero(at < 0)
+    pair, back = np.unique(row[rare] * (len(words) + 1) + which[rare], return_inverse=True)
+    owner = pair // (len(words) + 1)
+    begin = np.searchsorted(owner, np.arange(len(lists) + 1))
+    begins = ptr[np.maximum(at, 0)]
+    size = np.where(at < 0, 1, ptr[np.minimum(np.maximum(at, 0) + 1, len(ptr) - 1)] - begins)
+    total = np.concatenate(([0], np.cumsum(size)))
+    codes = np.empty(total[-1], np.int32)
+    place = np.repeat(begins - total[:-1], size) + np.arange(total[-1])
+    mine = np.repeat(at >= 0, size)
+    codes[mine] = ids[place[mine]]
+    codes[total[rare]] = -1 - (back - begin[row[rare]])
+    last = np.concatenate(([0], np.cumsum(length)))
+    mask = pa.array(null)
+    lists_of = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+    return pa.StructArray.from_arrays([lists_of(pa.array(codes), total[last]), lists_of(words.take(pa.array(pair % (len(words) + 1))), begin)], names=["codes", "rare"], mask=mask)
+
+
+def _coder(table, ranks, key: str):  # noqa: ANN001
+    @F.arrow_udf("struct<codes:array<int>,rare:array<string>>")
+    def code(lists: pa.Array) -> pa.Array:
+        if key not in _dictionaries:
+            _dictionaries.clear()
+            _dictionaries[key] = _Dictionary(table.value)
+        parts, first = [], 0
+        size = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while first < len(lists):  # texts are looked up some at a time
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SLICE_WORDS, side="right")))
+            parts.append(_coded(lists.slice(first, last - first), _dictionaries[key], ranks.value))
+            first = last
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("codes", pa.list_(pa.int32())), ("rare", pa.list_(pa.string()))]))
+
+    return code
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "ids", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """The rows with the ids of their text."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     context = docs.sparkSession.sparkContext
-    known = frequent(encoded_words(docs, vocabulary, text_col), dictionary_bytes).select("word", "ids").toArrow()
+    known = encoded_words(docs, vocabulary, text_col, dictionary_bytes).combine_chunks()
+    h = _hashes(known.column("word").chunk(0)) if known.num_rows else np.zeros(0, np.uint64)
+    known = known.append_column("h", pa.array(h)).take(pa.array(np.argsort(h, kind="stable")))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, known.schema) as stream:
-        stream.write_table(known)
-    schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
-    rows = docs.drop(out).withColumn("__words", split_words(F.col(text_col)))
-    run = _encode_batches(context.broadcast(sink.getvalue().to_pybytes()), context.broadcast(vocabulary.ranks), to_arrow_schema(schema), text_col, out)
-    return rows.mapInArrow(run, schema)
+        stream.write_table(known.combine_chunks())
+    code = _coder(context.broadcast(sink.getvalue().to_pybytes()), context.broadcast(vocabulary.ranks), uuid.uuid4().hex)
+    either = lambda test, yes, no: F.call_function("if", test, yes, no)
+    placed = lambda codes, folded: F.flatten(F.transform(codes, lambda c: either(c < 0, F.get(folded, -c - 1), F.array(c))))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    coded = F.col("__coded")
+    ids = either(F.size(coded["rare"]) == 0, coded["codes"], let(F.transform(coded["rare"], vocabulary.fold), lambda folded: placed(coded["codes"], folded)))
+    rows = docs.drop(out).withColumn("__coded", code(split_words(F.col(text_col))))
+    return rows.select(*(c for c in docs.columns if c != out), F.when(F.col(text_col).isNotNull(), ids).alias(out))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
