@@ -19,14 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.words import minimizers, slices, tokenize
+from loomtext.llm import packed
+from loomtext.llm.words import minimizers, mix64, slices, tokenize
+from loomtext.runtime import scratch, small
 
 #: Requests for segments of one document that are served by one pass over its text.
 REQUESTS_AT_ONCE = 4096
+#: Documents with one seed in one task beyond which they are spread, and bytes of requests that are broadcast.
+HOT = 4096
+BROADCAST_BYTES = 16 << 20
 
 
 def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns that the search needs, whatever else the table holds."""
+    """Only the two columns that the search needs, whatever else the table holds; ids are numbers of at most 64 bits."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
 
@@ -66,24 +71,87 @@ def shared(docs: DataFrame, k: int, w: int) -> DataFrame:
     return rows.where("hub <> doc_id or next is not null").select("hub", "doc_id", "pos", "more")
 
 
-def links(docs: DataFrame, k: int, w: int, partners: int) -> DataFrame:
-    """(doc, hub, pos, hpos) for each occurrence of a seed and the documents of lower id that have it.
+def _spread(key: np.ndarray, columns: list[np.ndarray], partners: int, hot: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a seed that more than ``hot`` documents here have, all but the first go to other tasks, and the first document to each of these."""
+    doc, pos = columns
+    entry = np.ones(len(key), bool)
+    entry[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    number = np.cumsum(entry) - 1
+    begin = np.maximum.accumulate(np.where(first, number, 0))
+    size = np.bincount(np.cumsum(first) - 1, entry)[np.cumsum(first) - 1]
+    rank = number - begin
+    many = size > hot
+    if not many.any():
+        return key, columns
+    salts = np.uint64(64)
+    salt = np.where(many & (rank > partners), mix64(doc.view(np.uint64)) % salts + np.uint64(1), 0).astype(np.uint64)
+    again = np.flatnonzero(many & (rank == 0))
+    copies = np.repeat(again, int(salts))
+    key = np.concatenate((packed.salted(key, salt), packed.salted(key[copies], np.tile(np.arange(1, int(salts) + 1, dtype=np.uint64), len(again)))))
+    doc, pos = np.concatenate((doc, doc[copies])), np.concatenate((pos, pos[copies]))
+    order = np.lexsort((doc, key))
+    return key[order], [doc[order], pos[order]]
+
+
+def _seed_blocks(k: int, w: int, partners: int, hot: int, parts: int):
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        for part in slices(batches):
+            words = tokenize(part.column("text"))
+            at, h = minimizers(words, k, w)
+            doc = np.searchsorted(words.ptr, at, side="right") - 1
+            yield packed.salted(h, np.zeros(len(h))), [part.column("doc_id").to_numpy()[doc], at - words.ptr[doc]]
+
+    return lambda batches: packed.sent(tables(batches), parts, lambda key, columns: _spread(key, columns, partners, hot))
+
+
+def linked(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, partners: int) -> Iterator[list[np.ndarray]]:
+    """(doc, hub, pos, hpos) of the occurrences of seeds, sorted by (seed, document), some at a time."""
+    order = np.lexsort((pos, doc, key))
+    key, doc, pos = key[order], doc[order], pos[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])  # rows that repeat an id
+    key, doc, pos = key[new], doc[new], pos[new]
+    start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+    count = np.diff(np.append(start, len(key)))
+    seed = key[start]
+    first = np.concatenate(([True], seed[1:] != seed[:-1]))
+    number = np.arange(len(start))
+    rank = number - np.maximum.accumulate(np.where(first, number, 0))
+    n = np.where((rank > partners) | ((seed & np.uint64(0xFFFF)) > 0), np.minimum(rank, 1), rank)
+    total = np.cumsum(n * count)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + packed.FLUSH_ROWS // 4, side="right")))
+        own = np.repeat(np.arange(a, b), n[a:b])
+        other = own - rank[own] + np.arange(len(own)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+        size = count[own]
+        i = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        own, other = np.repeat(own, size), np.repeat(other, size)
+        yield [doc[start[own]], doc[start[other]], pos[start[own] + i], pos[start[other] + np.minimum(i, count[other] - 1)]]
+        a = b
+
+
+def links(docs: DataFrame, k: int, w: int, partners: int, ends: tuple[int, ...] = (0,), hot: int = HOT) -> DataFrame:
+    """Blocks, by document, of (doc, hub, pos, hpos) for each occurrence of a seed and the documents of lower id that have it.
 
     The first ``partners`` + 1 documents of a seed are linked to all before
-    them, the later ones of a frequent seed to the first document only.  The
-    i-th occurrence within a document goes with the other's i-th, or its last.
+    them, the later ones of a frequent seed to the first document only; where
+    one task alone meets more than ``hot`` documents with a seed, to one of the
+    first.  The i-th occurrence within a document goes with the other's i-th,
+    or its last.  Each is given at all of ``ends`` from its beginning.
     """
-    within = Window.partitionBy("h").orderBy("doc_id")
-    this = F.struct("doc_id", "pos", "more")
-    before = F.collect_list(this).over(within.rowsBetween(-partners, -1))
-    rows = seeds(docs, k, w).withColumns({"no": F.row_number().over(within), "first": F.first(this).over(within), "before": before}).where("no > 1")
-    leads = rows.select("doc_id", "pos", "more", F.explode(F.when(F.col("no") > partners + 1, F.array("first")).otherwise(F.col("before"))).alias("lead")).where("lead.doc_id < doc_id")
-    hubs = F.concat(F.array("lead.pos"), F.coalesce("lead.more", F.expr("array()").cast("array<int>")))
-    own = F.concat(F.array("pos"), F.coalesce("more", F.expr("array()").cast("array<int>")))
-    one = F.array(F.struct(F.col("pos").alias("p"), F.col("lead.pos").alias("q")))
-    many = F.transform(own, lambda p, i: F.struct(p.alias("p"), F.element_at(hubs, F.least(i + 1, F.size(hubs))).alias("q")))
-    pairs = leads.select(F.col("doc_id").alias("doc"), F.col("lead.doc_id").alias("hub"), F.explode(F.when(F.col("more").isNull(), one).otherwise(many)).alias("at"))
-    return pairs.select("doc", "hub", F.col("at.p").alias("pos"), F.col("at.q").alias("hpos"))
+    parts = packed.part_count(docs)
+
+    def receive(part: int, key: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def tables() -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+            for doc, hub, pos, hpos in linked(key, *columns, partners):
+                for step in ends:
+                    yield packed.salted(mix64(doc.view(np.uint64)), np.zeros(len(doc))), [doc, hub, pos + step, hpos + step]
+
+        yield from packed.sent(tables(), parts)
+
+    return packed.exchange(docs, _seed_blocks(k, w, partners, hot, parts), receive, packed.BLOCKS, 2)
 
 
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +180,17 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             first = last
 
 
-def segments(docs: DataFrame, requests: DataFrame) -> DataFrame:
+def segments(docs: DataFrame, requests: DataFrame, compact: bool = False) -> DataFrame:
     """(key, lo, words) for each request (doc_id, lo, hi, key): 32-bit hashes of the words from lo to hi.
 
     One shuffle of the requests and one of the texts that are asked for; a
-    document with very many requests is read once for each 4096 of them.
+    document with very many requests is read once for each 4096 of them.  With
+    ``compact`` the requests are written first, and few go to the texts instead.
     """
     order = Window.partitionBy("doc_id").orderBy("lo", "hi")
     grouped = requests.withColumn("n", F.floor((F.row_number().over(order) - 1) / REQUESTS_AT_ONCE)).groupBy("doc_id", "n").agg(F.collect_list(F.struct("lo", "hi", "key")).alias("wanted"))
+    if compact:
+        grouped = small(scratch(grouped, "requests"), BROADCAST_BYTES)
     joined = docs.join(grouped, "doc_id").select("text", "wanted")
     key = requests.schema["key"].dataType.simpleString()
     return joined.mapInArrow(_segment_batches, f"key {key}, lo int, words binary")
