@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.functions import columns as C
-from loomtext.functions.html5 import Node, Selector, parse
+from loomtext.functions.html5 import VOID, Node, Selector, parse
 from loomtext.functions.markdown import convert, resolve_links
 
 NOISE = Selector(
@@ -68,17 +68,49 @@ def _container(root: Node, body: Node, focus: str) -> list[Node]:
         own = selector.first(root)
         if own is not None and len(own.text()) > 200:
             return [own]
-    best, top = None, 0.0
+    best, top, sizes = None, 0.0, _sizes(body)
     for node in DENSE.all(body):
-        size = len(node.text().strip())
+        size, markup, paragraphs, codes = sizes[id(node)]
         if size >= 200:
-            inner = list(node.walk())
-            score = size / max(len(node.html()), 1) * (1 + 0.1 * sum(n.tag == "p" for n in inner) + 0.2 * sum(n.tag in ("pre", "code") for n in inner))
+            score = size / max(markup, 1) * (1 + 0.1 * paragraphs + 0.2 * codes)
             if score > top:
                 best, top = node, score
     return [best if best is not None else body]
 
 
+def _sizes(root: Node) -> dict[int, tuple[int, int, int, int]]:
+    """For each element the length of its trimmed text and of its markup, and the paragraphs and codes in it; children first."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(node.children)
+    out: dict[int, tuple[int, int, int, int]] = {}
+    texts: dict[int, tuple[int, int, int]] = {}  # length, white space at the beginning and at the end
+    for node in reversed(order):
+        if not node.tag:
+            v = node.value
+            texts[id(node)] = len(v), len(v) - len(v.lstrip()), len(v) - len(v.rstrip())
+            out[id(node)] = 0, len(v) + 4 * v.count("&") + 3 * (v.count("<") + v.count(">")), 0, 0
+            continue
+        length = lead = trail = markup = paragraphs = codes = 0
+        for child in node.children:
+            n, first, last = texts[id(child)]
+            lead = lead + first if lead == length else lead
+            trail = trail + n if last == n else last
+            length += n
+            _, m, ps, cs = out[id(child)]
+            markup += m
+            if child.tag:
+                attrs = sum(len(k) + len(v) + 4 * v.count("&") + 5 * v.count(chr(34)) + 4 for k, v in child.attrs.items())
+                markup += len(child.tag) + 2 + attrs + (0 if child.tag in VOID else len(child.tag) + 3)
+            paragraphs += ps + (child.tag == "p")
+            codes += cs + (child.tag in ("pre", "code"))
+        texts[id(node)] = length, lead, trail
+        out[id(node)] = max(0, length - lead - trail) if lead < length else 0, markup, paragraphs, codes
+    return out
+
+
 def _context(node: Node) -> str | None:
     around = node.closest({"section", "div"})
     titles = [n for n in around.walk() if n.tag in ("h1", "h2", "h3", "h4")] if around is not None else []
