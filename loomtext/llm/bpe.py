@@ -189,8 +189,8 @@ def frequent(words: DataFrame, cost: Column, limit: int) -> DataFrame:
 def encoded_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", limit: int = DICTIONARY_BYTES) -> pa.Table:
     """(word, ids) of the most frequent words, as many as take ``limit`` bytes."""
     words = scratch(counted_words(docs, text_col), "words")
-    # before folding a word's ids are taken as one for two bytes, afterwards they are counted
-    likely = frequent(words.where(F.octet_length("word") <= LONG_WORD), 3 * F.octet_length("word") + 16, limit)
+    # before folding a word is taken to have an id for each four bytes and one more, afterwards they are counted
+    likely = frequent(words.where(F.octet_length("word") <= LONG_WORD), 2 * F.octet_length("word") + 20, limit)
     # merging is work for the CPU, not for the reader of few bytes: it is spread over all tasks
     spread = likely.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     folded = scratch(spread.select("word", "n", vocabulary.fold(F.col("word")).alias("ids")), "folded")

@@ -12,18 +12,20 @@ Words that no test item has cannot be part of a phrase, so a run of them is one
 symbol in the index, and runs of test words too short for a phrase go the same
 way: the index holds what could match, whatever the share of the corpus.
 
-The phrases travel with the tasks while they take at most ``phrase_bytes``;
-more are searched in several passes over the documents.  Texts never shuffle.
+The phrases are broadcast in blocks of at most ``phrase_bytes`` each.  A task
+holds one block at a time and searches all of them in the same original texts;
+the spans of all are merged before anything is cut, so the size of a block has
+no influence on the result.  Texts never shuffle.
 
 A null text stays null, an empty one empty; null or empty items have no
-phrases; repeated rows are treated alike and all kept; further columns pass
-through, and a column that is named like a new one is replaced by it.
+phrases; repeated rows are treated alike and all kept; ids may be of any type.
+``remove_leaks`` passes all other columns through, whatever their names;
+``leaks`` reads none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -193,8 +195,8 @@ def spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], hi[np.append(first[1:], len(lo)) - 1]
 
 
-def _search_part(phrases: Phrases, held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], text_col: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Each batch with, for each row, None or (begins, ends, items) in bytes."""
+def _search_part(phrases: Phrases, held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], text_col: str) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray, set[int]]]]:
+    """For each batch the rows that hold phrases, with the phrases' first words, last words and items."""
     text = np.concatenate([s for _, s, _ in held]) if held else np.zeros(0, np.int64)
     place, which = _occurrences(phrases, text) if len(text) else (np.zeros(0, np.int64),) * 2
     order = np.argsort(place, kind="stable")
@@ -202,18 +204,15 @@ def _search_part(phrases: Phrases, held: list[tuple[pa.RecordBatch, np.ndarray,
     done = 0
     for batch, symbols, at in held:
         a, b = np.searchsorted(place, [done, done + len(symbols)])
-        found: list = [None] * batch.num_rows
+        found = {}
         if a < b:
-            words = tokenize(batch.column(text_col))
             word, phrase = at[place[a:b] - done], which[a:b]
-            doc = np.searchsorted(words.ptr, word, side="right") - 1
-            for d in np.unique(doc):
+            doc = np.searchsorted(tokenize(batch.column(text_col)).ptr, word, side="right") - 1
+            for d in np.unique(doc).tolist():
                 own = doc == d
-                lo, hi = spans(word[own], word[own] + phrases.length[phrase[own]])
-                items = sorted({i for p in phrase[own].tolist() for i in phrases.items[p]})
-                found[d] = (words.start[lo].tolist(), words.end[hi - 1].tolist(), items)
+                found[d] = word[own], word[own] + phrases.length[phrase[own]], {i for p in phrase[own].tolist() for i in phrases.items[p]}
         done += len(symbols)
-        yield batch, found
+        yield found
 
 
 def _cut(text: str, begins: list[int], ends: list[int]) -> str:
@@ -224,31 +223,55 @@ def _cut(text: str, begins: list[int], ends: list[int]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def _scan(phrases: Phrases, text_col: str, schema: pa.Schema, only_hits: bool):
+def _scan(blocks: list, text_col: str, schema: pa.Schema, only_hits: bool):
+    """``blocks``: broadcast phrases, all of which are searched in the texts as they are; with several, one is held at a time."""
+
+    def loaded(block) -> Phrases:  # noqa: ANN001
+        phrases = block.value
+        if len(blocks) > 1:
+            del block._value
+        return phrases
+
+    def symbols(phrases: Phrases, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        words = tokenize(part.column(text_col))
+        return _reduced(phrases.numbers(words.hash), words.ptr, phrases.shortest)
+
     def emit(held: list) -> Iterator[pa.RecordBatch]:
-        for batch, found in _search_part(phrases, held, text_col):
-            hit = [i for i, f in enumerate(found) if f]
-            if only_hits:
-                batch, found = batch.take(pa.array(hit, pa.int64())), [found[i] for i in hit]
-                hit = list(range(len(hit)))
+        every: list[dict] = [{} for _ in held]
+        for n, block in enumerate(blocks):
+            phrases = loaded(block)
+            if n:
+                held = [(part, *symbols(phrases, part)) for part, _, _ in held]
+            for rows, found in zip(every, _search_part(phrases, held, text_col)):
+                for d, new in found.items():
+                    rows.setdefault(d, []).append(new)
+            del phrases
+        for (batch, _, _), rows in zip(held, every):
+            hit = sorted(rows)
             text = batch.column(text_col)
+            begins, ends, items = [], [], []
             if hit:
-                values = text.to_pylist()
-                for i in hit:
-                    values[i] = _cut(values[i], found[i][0], found[i][1])
+                words, values = tokenize(text), text.to_pylist()
+                for d in hit:
+                    lo, hi = spans(np.concatenate([x[0] for x in rows[d]]), np.concatenate([x[1] for x in rows[d]]))
+                    begins.append(words.start[lo].tolist()), ends.append(words.end[hi - 1].tolist())
+                    items.append(sorted(set().union(*(x[2] for x in rows[d]))))
+                    values[d] = _cut(values[d], begins[-1], ends[-1])
                 text = pa.array(values, text.type)
-            new = {text_col: text, "begins": [f and f[0] for f in found], "ends": [f and f[1] for f in found], "items": [f and f[2] for f in found]}
-            columns = [pc.cast(text, f.type) if f.name == text_col else pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in schema]
+            new = {text_col: text}
+            if only_hits:
+                keep = pa.array(hit, pa.int64())
+                batch, new = batch.take(keep), {text_col: text.take(keep), "begins": begins, "ends": ends, "items": items}
+            columns = [pc.cast(new[f.name], f.type) if f.name == text_col else pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = rows = 0
+        first = blocks[0].value if len(blocks) == 1 else None
         for part in slices(batches, text_col):
-            words = tokenize(part.column(text_col))
-            symbols, at = _reduced(phrases.numbers(words.hash), words.ptr, phrases.shortest) if phrases.shortest else (np.zeros(0, np.int64),) * 2
-            held.append((part, symbols, at))
-            size, rows = size + len(symbols), rows + 1
+            held.append((part, *(symbols(first or loaded(blocks[0]), part))))
+            size, rows = size + len(held[-1][1]), rows + 1
             if size >= SHARD_WORDS or rows >= 64:
                 yield from emit(held)
                 held, size, rows = [], 0, 0
@@ -276,40 +299,20 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", phrase_words: int = PHRASE_WORDS, min_phrase: int = MIN_PHRASE, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
-    """(doc_id, items, begins, ends, text) of each row that holds a test phrase: item ids, byte spans, the text without them."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("items", "begins", "ends")), T.StructField("text", T.StringType())])
-    found = [rows.mapInArrow(_scan(p, "text", _arrow(schema), True), schema) for block in _blocks(benchmark, item_col, item_text, phrase_bytes) if (p := Phrases(block, phrase_words, min_phrase)).shortest]
-    if not found:
-        return docs.sparkSession.createDataFrame([], schema)
-    return found[0] if len(found) == 1 else _joined(docs, found, id_col, text_col)
-
-
-def _joined(docs: DataFrame, found: list[DataFrame], id_col: str, text_col: str) -> DataFrame:
-    """The spans of several passes, merged; here texts of documents that hold phrases are cut again."""
-    each = reduce(DataFrame.unionByName, [f.drop("text") for f in found]).dropDuplicates()
-    lists = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("items", "begins", "ends")}
-    merged = each.groupBy("doc_id").agg(*lists.values())
+def _phrases(benchmark: DataFrame, item_col: str, item_text: str, phrase_words: int, min_phrase: int, phrase_bytes: int) -> list:
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(p) for block in _blocks(benchmark, item_col, item_text, phrase_bytes) if (p := Phrases(block, phrase_words, min_phrase)).shortest]
 
-    @F.pandas_udf("struct<items:array<long>,begins:array<long>,ends:array<long>,text:string>")
-    def cut(text, items, begins, ends):  # noqa: ANN001, ANN202
-        import pandas as pd
 
-        out = []
-        for t, i, b, e in zip(text, items, begins, ends):
-            lo, hi = spans(np.asarray(b), np.asarray(e))
-            out.append((sorted(set(i)), lo.tolist(), hi.tolist(), _cut(t, lo.tolist(), hi.tolist())))
-        return pd.DataFrame(out, columns=["items", "begins", "ends", "text"])
-
-    joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(merged, "doc_id")
-    return joined.select("doc_id", cut("text", "items", "begins", "ends").alias("x")).select("doc_id", "x.items", "x.begins", "x.ends", "x.text")
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", phrase_words: int = PHRASE_WORDS, min_phrase: int = MIN_PHRASE, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
+    """(doc_id, items, begins, ends, text) of each row that holds a test phrase: item ids, byte spans, the text without them."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("items", "begins", "ends")), T.StructField("text", T.StringType())])
+    blocks = _phrases(benchmark, item_col, item_text, phrase_words, min_phrase, phrase_bytes)
+    return rows.mapInArrow(_scan(blocks, "text", _arrow(schema), True), schema) if blocks else docs.sparkSession.createDataFrame([], schema)
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", phrase_words: int = PHRASE_WORDS, min_phrase: int = MIN_PHRASE, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
     """All rows and columns, the texts without test phrases."""
-    for block in _blocks(benchmark, item_col, item_text, phrase_bytes):
-        phrases = Phrases(block, phrase_words, min_phrase)
-        if phrases.shortest:
-            docs = docs.mapInArrow(_scan(phrases, text_col, _arrow(docs.schema), False), docs.schema)
-    return docs
+    blocks = _phrases(benchmark, item_col, item_text, phrase_words, min_phrase, phrase_bytes)
+    return docs.mapInArrow(_scan(blocks, text_col, _arrow(docs.schema), False), docs.schema) if blocks else docs

@@ -200,7 +200,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     key = F.struct("template", "doc_id", "votes", "no", "low", "high").alias("key")
     reach = F.ceil(F.col("length") / F.lit(coverage))
     requests = likely.select("doc_id", (F.col("low") - reach).cast("int").alias("lo"), (F.col("high") + reach).cast("int").alias("hi"), key)
-    found = seeds.segments(docs, requests).select("key.*", "lo", "words")
+    found = seeds.segments(docs, requests, compact=True).select("key.*", "lo", "words")
     words = models.mapInArrow(_template_words, "template string, model binary")
     schema = "doc_id long, template string, start_word int, end_word int, votes long, coverage double"
     each = found.join(words, "template").mapInArrow(_verify_batches(coverage), schema).groupBy("doc_id", "template")

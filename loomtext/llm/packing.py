@@ -7,14 +7,17 @@ placed in order of falling size, each where the dot product of its vector with
 the shard's residual capacity is highest among the shards that it fits in; if
 it fits nowhere, where it overflows least.
 
-Up to ``block`` shards are packed at once.  More are packed in two steps by the
-same rule: groups to blocks of shards, then, for all blocks in parallel, to the
-shards of each.  Only group vectors are packed, ``parts`` or so to a shard;
-documents get their shard by a join on the group, and texts are read once, for
-their sizes.
+Up to ``block`` shards are packed at once.  More are packed as a tree by the same
+rule: hashed cells of groups to ``block`` children, then, for all children in
+parallel, on to theirs, down to the shards, so that no task grows with the
+corpus.  Only group vectors are packed, ``parts`` or so to a shard; documents
+get their shard by a join on the group, and texts are read once, for their sizes.
+Of equal scores the first shard is taken, of equal groups the first by source
+and bucket.
 
 Every row gets a shard: a null id or source counts as a value of its own, a
-null text has no bytes and no tokens; rows that repeat an id go together.  An
+null text has no bytes and no tokens; rows that repeat an id of one source go
+together; ids may be of any type.  An
 empty table gives an empty result.  Other columns are not read.
 """
 
@@ -39,7 +42,7 @@ def pack(demand: np.ndarray, bins: np.ndarray) -> np.ndarray:
     out = np.empty(len(demand), np.int64)
     for i in np.lexsort((np.arange(len(demand)), -demand.max(axis=1, initial=0))):
         need = demand[i]
-        score = residual @ need
+        score = residual[:, 0] * need[0] + residual[:, 1] * need[1] + residual[:, 2] * need[2]  # rounded alike in every row, so that ties stay ties
         fits = (residual >= need - 1e-12).all(axis=1)
         if fits.any():
             score[~fits] = -np.inf
@@ -58,45 +61,79 @@ def _demand(rows: pd.DataFrame, shards: int) -> np.ndarray:
     return values / np.maximum(total / shards, 1e-9)
 
 
-def _pack_blocks(block: int, slack: float):
+def _pack_children(block: int, slack: float):
+    """Cells of a node to its children, of ``child`` shards each but the last."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["source", "bucket"], na_position="first").reset_index(drop=True)
-        shards = int(rows["shards"].iloc[0])
-        sizes = np.full(-(-shards // block), block)
+        rows = rows.sort_values("cell").reset_index(drop=True)
+        shards, child, first = int(rows["shards"].iloc[0]), int(rows["child"].iloc[0]), int(rows["first"].iloc[0])
+        sizes = np.full(-(-shards // child), child)
         sizes[-1] -= sizes.sum() - shards
-        rows["block"] = pack(_demand(rows, shards), np.repeat(sizes[:, None] * slack, 3, axis=1))
-        return rows
+        at = pack(_demand(rows, shards), np.repeat(sizes[:, None] * slack, 3, axis=1))
+        rows["new_first"], rows["new_shards"] = first + at * child, sizes[at]
+        return rows[["first", "cell", "new_first", "new_shards"]]
 
     return run
 
 
-def _pack_shards(block: int, slack: float):
+def _pack_shards(slack: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["source", "bucket"], na_position="first").reset_index(drop=True)
-        shards, number = int(rows["shards"].iloc[0]), int(rows["block"].iloc[0])
-        own = min(block, shards - number * block)
-        rows["shard"] = number * block + pack(_demand(rows, shards), np.full((own, 3), slack))
+        shards, first = int(rows["shards"].iloc[0]), int(rows["first"].iloc[0])
+        rows["shard"] = first + pack(_demand(rows, shards), np.full((shards, 3), slack))
         return rows[["source", "bucket", "shard"]]
 
     return run
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shard_bytes: int = SHARD_BYTES, parts: int = PARTS, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"))
+
+
+def _with_totals(rows: DataFrame, node: DataFrame) -> DataFrame:
+    """Each row with the sums of its node, which its vector is measured by."""
+    sums = _summed(node, "first").select("first", *(F.col(c).alias(f"all_{c}") for c in ("bytes", "tokens", "rows")))
+    return rows.join(sums, "first")
+
+
+def _placed(groups: DataFrame, shards: int, block: int, cells: int, slack: float) -> DataFrame:
+    """(source, bucket, shard) of the groups.
+
+    A node of more than ``block`` shards is parted to at most ``block`` children:
+    its groups fall to ``cells`` cells by their hash, whose sums are packed.  So
+    no task packs more than the cells of one node, or the groups of one node of
+    at most ``block`` shards, whatever the number of shards.
+    """
+    nodes = groups.withColumns({"first": F.lit(0).cast("long"), "shards": F.lit(shards).cast("long")})
+    width, level = block, 0
+    while width < shards:
+        width *= block
+    while width > block:
+        width //= block
+        level += 1
+        cell = F.pmod(F.xxhash64(F.lit(level), "source", "bucket"), F.lit(cells))
+        own = nodes.withColumn("cell", cell)
+        vectors = own.groupBy("first", "shards", "cell").agg(*(F.sum(c).alias(c) for c in ("bytes", "tokens", "rows"))).withColumn("child", F.lit(width).cast("long"))
+        kept = "first long, cell long, new_first long, new_shards long"
+        parted = _with_totals(vectors, vectors).groupBy("first").applyInPandas(_pack_children(block, slack), kept)
+        nodes = scratch(own.join(scratch(parted, "parted"), ["first", "cell"]).select("source", "bucket", "bytes", "tokens", "rows", F.col("new_first").alias("first"), F.col("new_shards").alias("shards")), "nodes")
+    return _with_totals(nodes, nodes).groupBy("first").applyInPandas(_pack_shards(slack), "source string, bucket long, shard long")
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shard_bytes: int = SHARD_BYTES, parts: int = PARTS, slack: float = SLACK, block: int = BLOCK, cells: int | None = None) -> DataFrame:
     """(doc_id, source, bytes, tokens, shard) for every row; tokens are the words between blanks and line ends."""
     text = F.col(text_col)
     tokens = F.coalesce(F.size(F.filter(F.split(text, "[ \n]"), lambda w: w != "")), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.when(text.isNull(), F.lit(0)).otherwise(tokens).cast("long").alias("tokens"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.when(text.isNull(), F.lit(0)).otherwise(tokens).cast("long").alias("tokens"))
     rows = scratch(sized, "sizes")
-    sums = [F.sum("bytes").alias("all_bytes"), F.sum("tokens").alias("all_tokens"), F.count(F.lit(1)).alias("all_rows")]
-    total = rows.agg(*sums).select("*", F.greatest(F.ceil(F.col("all_bytes") / shard_bytes), F.lit(1)).alias("shards"))
+    counted = rows.groupBy("source").agg(F.sum("bytes").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    all_bytes, all_tokens, all_rows = (x or 0 for x in counted.agg(F.sum("b"), F.sum("t"), F.sum("n")).first())
+    shards = max(1, -(-all_bytes // shard_bytes))
     # a source is split by the largest of its three shares of the whole
-    share = F.greatest(F.col("b") / F.greatest("all_bytes", F.lit(1)), F.col("t") / F.greatest("all_tokens", F.lit(1)), F.col("n") / F.greatest("all_rows", F.lit(1)))
-    sources = rows.groupBy("source").agg(F.sum("bytes").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).crossJoin(total)
-    buckets = sources.select("source", F.ceil(share * F.col("shards") * parts).alias("buckets"))
-    bucketed = rows.join(buckets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.greatest("buckets", F.lit(1))).cast("long"))
-    groups = bucketed.groupBy("source", "bucket").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).crossJoin(total)
-    kept = "source string, bucket long, bytes long, tokens long, rows long, all_bytes long, all_tokens long, all_rows long, shards long"
-    blocks = groups.groupBy("shards").applyInPandas(_pack_blocks(block, slack), kept + ", block long")
-    placed = scratch(blocks.groupBy("block").applyInPandas(_pack_shards(block, slack), "source string, bucket long, shard long"), "placed")
+    share = F.greatest(F.col("b") / max(all_bytes, 1), F.col("t") / max(all_tokens, 1), F.col("n") / max(all_rows, 1))
+    buckets = counted.select(F.col("source").alias("s"), F.ceil(share * shards * parts).alias("buckets"))
+    bucketed = rows.join(buckets, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.greatest("buckets", F.lit(1))).cast("long"))
+    groups = scratch(bucketed.groupBy("source", "bucket").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "groups")
+    placed = scratch(_placed(groups, shards, block, cells or 64 * block, slack), "placed")
     right = placed.select(F.col("source").alias("s"), F.col("bucket").alias("g"), "shard")
     return bucketed.join(right, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("g"))).select("doc_id", "source", "bytes", "tokens", "shard")

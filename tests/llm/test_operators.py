@@ -340,7 +340,7 @@ def test_bpe(spark, odd, empty, limit):
 
     v = queries.vocabulary(spark)
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k.encode("latin-1"): r for k, r in v.ranks.items()}, special_tokens={})
-    extra = spark.createDataFrame([(90, "café    x\n\n  y 😀 <|endoftext|> " + "z" * 200, 3)], "doc_id long, text string, ids int")
+    extra = spark.createDataFrame([(90, "café    x\n\n  y 😀 <|endoftext|> " + "z" * 200, 3), (91, "ab" * 20_000 + " x", 3), (92, None, 3), (93, "", 3)], "doc_id long, text string, ids int")
     for docs in (odd, extra):
         for r in bpe.round_trip(docs, v, dictionary_bytes=limit).collect():
             assert r.exact and (r.ids is None if r.text is None else r.ids == coder.encode_ordinary(r.text))
@@ -448,3 +448,177 @@ def test_pipeline(spark, sf):
     v = queries.vocabulary(spark)
     back = spark.createDataFrame([(int(d), [int(i) for i in x]) for d, x in zip(out.doc_id, out.ids)], "doc_id long, ids array<int>").select("doc_id", v.decode(F.col("ids")).alias("text")).toPandas()
     assert not leaks(back, bench.toPandas().text)
+
+
+@pytest.mark.parametrize(("hot", "label_bytes", "few"), [(4, metric_join.LABEL_BYTES, 32), (metric_join.HOT, 0, 2), (metric_join.HOT, metric_join.LABEL_BYTES, 4)])
+def test_jaccard_parted_sites_and_large_tables(spark, monkeypatch, hot, label_bytes, few):
+    """Sites of near copies in parts, labels by a shuffle, new pivots: a chain of texts, of which only neighbours are near."""
+    base = [f"c{i}" for i in range(60)]
+    rows = [(100 + i, " ".join([*base[:40], *(f"n{i // 2}x{j}" for j in range(i % 3))])) for i in range(40)]
+    rows += [(i, " ".join(f"c{j}" for j in range(6 * i, 6 * i + 60))) for i in range(12)] + [(i, prose(i, 60)) for i in range(20, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(metric_join, "ROOM_GUESTS", 5)
+    monkeypatch.setattr(metric_join, "FEW", few)
+    if few == 2:
+        monkeypatch.setattr(metric_join, "EDGE_BYTES", 0)
+    got = metric_join.groups(docs, hot=hot, label_bytes=label_bytes).toPandas()
+    assert dict(zip(got.doc_id, got.group_id)) == brute_groups(docs.toPandas(), metric_join.TAU)
+
+
+def brute_leaks(text, bench, n=fm_index.PHRASE_WORDS):
+    """(items, byte spans, text) by comparing every window with every phrase."""
+    w = words.tokenize(pa.array([text], pa.string()))
+    own, cover, items = w.hash.tolist(), [False] * len(w.hash), set()
+    for item, t in bench:
+        g = words.tokenize(pa.array([t], pa.string())).hash.tolist()
+        phrases = [g] if fm_index.MIN_PHRASE <= len(g) < n else [g[i : i + n] for i in range(len(g) - n + 1)]
+        for p in phrases:
+            for i in range(len(own) - len(p) + 1):
+                if own[i : i + len(p)] == p:
+                    cover[i : i + len(p)] = [True] * len(p)
+                    items.add(item)
+    begins = [i for i, c in enumerate(cover) if c and (i == 0 or not cover[i - 1])]
+    ends = [i + 1 for i, c in enumerate(cover) if c and (i + 1 == len(cover) or not cover[i + 1])]
+    spans = [(int(w.start[a]), int(w.end[b - 1])) for a, b in zip(begins, ends)]
+    data, out, at = text.encode(), b"", 0
+    for a, b in spans:
+        out, at = out + data[at:a], b
+    return sorted(items), spans, (out + data[at:]).decode()
+
+
+@pytest.mark.parametrize("limit", [fm_index.PHRASE_BYTES, 100])
+def test_decontamination_spans_whatever_the_blocks(spark, limit):
+    """Phrases that overlap, that a cut would put together, repeated and null ids, columns named like the result's."""
+    r = random.Random(4)
+    bench = [(1, "a1 b1 c1 d1 e1 f1 g1 h1"), (2, "x1 x2 x3 x4 x5 x6 x7 x8"), (3, "w5 w6 w7 w8 w9 w10 w11 w12"), (4, " ".join(f"w{i}" for i in range(1, 9))), (5, "k1 k2 k3 k4 k5")]
+    texts = ["start x1 x2 x3 x4 a1 b1 c1 d1 e1 f1 g1 h1 x5 x6 x7 x8 end", "q " + " ".join(f"W{i}," for i in range(1, 13)) + " é", "k1 k2 k3 k4 k5 k1 k2 k3 k4 k5", "clean", "", None]
+    texts += [" ".join(r.choice(["k1", "k2", "k3", "k4", "k5", "z"]) for _ in range(60)) for _ in range(20)]
+    rows = [(1 if i < 2 else None if i == 2 else i, t, ["own"], 7, "b") for i, t in enumerate(texts)] + [(1, texts[0], ["own"], 7, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items array<string>, begins int, ends string").repartition(2)
+    tests = spark.createDataFrame(bench, "item_id long, text string")
+    want = [(i, *brute_leaks(t, bench)) for i, t, *_ in rows if t]
+    got = [(x.doc_id, x["items"], list(zip(x.begins, x.ends)), x.text) for x in fm_index.leaks(docs, tests, phrase_bytes=limit).collect()]
+    assert sorted(map(repr, got)) == sorted(repr(x) for x in want if x[1])
+    cut = fm_index.remove_leaks(docs, tests, phrase_bytes=limit)
+    assert cut.columns == docs.columns
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, spark.createDataFrame([(i, t and brute_leaks(t, bench)[2], *rest) for i, t, *rest in rows], docs.schema).collect()))
+
+
+def test_many_passages_of_two_long_texts(spark):
+    shared = [prose(f"s{i}", 60) for i in range(1500)]
+    a, b = (" ".join(f"{p} {' '.join(f'{side}{i}x{j}' for j in range(20))}" for i, p in enumerate(shared)) for side in "ab")
+    got = collinear.repeated_passages(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert len(covered((x.doc_id, x.start_word, x.end_word) for x in got)) >= 0.98 * 1500 * 60
+
+
+def test_frequent_seeds_go_to_other_tasks(spark):
+    """A passage in more documents than one task may hold together: each but the first is still linked to an earlier one."""
+    from loomtext.llm import packed, seeds
+
+    p = prose("hot", 60)
+    docs = spark.createDataFrame([(i, f"{prose(f'u{i}', 30)} {p} {prose(f'v{i}', 30)}") for i in range(60)], "doc_id long, text string").coalesce(2)
+    links = seeds.links(docs, collinear.LONG_K, collinear.LONG_W, 4, hot=10)
+    rows = [(int(d), int(h)) for r in links.collect() for d, h in zip(*packed.rows_of(r["block"])[1][:2])]
+    assert {d for d, _ in rows} == set(range(1, 60)) and all(h < d for d, h in rows)
+
+
+def test_pages_of_any_number_of_ranges(spark):
+    """Runs of equal pages over several ranges, repeated keys with other texts, one host with nearly all pages, bounds anywhere."""
+    page = lambda n: f"<body><p>menu</p><p>text {n}</p><p>end</p>"
+    rows = [(n, f"http://h/a/{n:03d}", page(n // 9)) for n in range(60)] + [(100, "http://h/a/001", page("x")), (100, "http://h/a/001", page("y")), (101, "http://i/", page(1)), (102, None, None), (103, "http://j/1", page(2)), (104, "http://j/2", page(2))]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    outcomes = [sorted(map(repr, page_diff.extract(docs.repartition(3), past_equal=True, parts=n).collect())) for n in (1, 2, 5, 40)]
+    assert all(o == outcomes[0] for o in outcomes) and len(outcomes[0]) == len(rows)
+    got = {(r.page_id, r.url): r for r in page_diff.extract(docs, past_equal=True, parts=5).where("page_id < 60 or page_id > 100").collect()}
+    assert all(got[n, f"http://h/a/{n:03d}"].text == f"text {n // 9}" for n in range(60))
+    assert got[103, "http://j/1"].text == "menu\ntext 2\nend" and got[102, None].text == "" and got[101, "http://i/"].partner_id is None
+
+
+def test_long_alignments_in_pieces(monkeypatch):
+    r = random.Random(9)
+    cases = [([r.randint(0, 9) for _ in range(r.randint(0, 60))], [r.randint(0, 9) for _ in range(r.randint(0, 60))]) for _ in range(60)]
+    whole = [page_diff.shared_lines(a, b) for a, b in cases]
+    monkeypatch.setattr(page_diff, "CELLS", 50)
+    assert [page_diff.shared_lines(a, b) for a, b in cases] == whole
+    for (a, b), at in zip(cases, whole):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                table[x + 1][y + 1] = table[x][y] + 1 if a[x] == b[y] else max(table[x][y + 1], table[x + 1][y])
+        rest = iter(b)
+        assert len(at) == table[-1][-1] and all(a[i] in rest for i in at)
+
+
+def test_page_texts(spark, sf):
+    frame = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").toPandas()
+    want = brute_pages(frame)
+    html = dict(zip(frame.page_id, frame.html))
+    for r in page_diff.extract(spark.createDataFrame(frame)).collect():
+        lines, kept = page_diff.text_lines(html[r.page_id]), r.text.split("\n") if r.text else []
+        rest = iter(lines)
+        assert all(x in rest for x in kept) and len(kept) == len(lines) - want[r.page_id][2]
+
+
+def plain_pack(vectors, bins, capacity):
+    left, out = [[capacity] * 3 for _ in range(bins)], {}
+    for i in sorted(range(len(vectors)), key=lambda i: (-max(vectors[i]), i)):
+        v = vectors[i]
+        fits = [b for b in range(bins) if all(left[b][k] >= v[k] - 1e-12 for k in range(3))]
+        if fits:
+            best = max(fits, key=lambda b: (sum(x * y for x, y in zip(left[b], v)), -b))
+        else:
+            best = min(range(bins), key=lambda b: (max(max(v[k] - left[b][k], 0) for k in range(3)), b))
+        out[i] = best
+        left[best] = [x - y for x, y in zip(left[best], v)]
+    return [out[i] for i in range(len(vectors))]
+
+
+def test_packing_equals_a_plain_packer():
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        v = np.round(r.random((60, 3)) * r.choice([0.1, 0.3]), 2)
+        v[10:20] = v[0]  # ties
+        bins = max(1, int(np.ceil(v.sum(axis=0).max())))
+        assert packing.pack(v, np.full((bins, 3), 1.02)).tolist() == plain_pack(v.tolist(), bins, 1.02)
+
+
+def test_packing_as_a_tree_with_a_hot_source(spark):
+    rows = [(i, prose(i % 50, 20 + i % 90), "hot" if i % 10 else f"s{i % 7}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = packing.assign(docs, shard_bytes=25_000, block=4, cells=64).toPandas()
+    assert len(got) == 4000 and got.doc_id.is_unique
+    for c in (got.groupby("shard").bytes.sum(), got.groupby("shard").tokens.sum(), got.groupby("shard").size()):
+        assert len(c) > 4**2 and c.max() <= 1.35 * c.mean()
+    again = packing.assign(docs.repartition(2), shard_bytes=25_000, block=4, cells=64).toPandas()
+    assert dict(zip(again.doc_id, again["shard"])) == dict(zip(got.doc_id, got["shard"]))
+
+
+def test_lines_trimmed(spark):
+    docs = spark.createDataFrame([(i, f"menu\r\n0 body {i}\n\tmenu ", "a") for i in range(9)], "doc_id long, text string, source string")
+    assert {r.text for r in site_lines.drop_boilerplate(docs).collect()} == {f"0 body {i}" for i in range(9)}
+    # the place of a line has no part in what it is compared with
+    docs = spark.createDataFrame([(i, f"x\n1 of all {i}", "a") for i in range(9)] + [(20, " of all 3", "a")], "doc_id long, text string, source string")
+    assert site_lines.boilerplate(docs).count() == 1
+
+
+def test_licenses_with_equal_choices(spark):
+    notice = dict(license_scan.TEMPLATES)["mit-notice"]
+    rows = [(1, f"{notice} {notice}"), (1, f"{notice} {notice}"), (2, notice.replace("the", "")), (None, notice)]
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.coverage) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0, 5, 1.0), (1, 5, 10, 1.0)]
+
+
+def test_pipeline_on_odd_tables(spark, sf, tmp_path):
+    import shutil
+
+    import corpus_pipeline
+
+    shutil.copy(f"{sf}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    spark.createDataFrame(odd_rows(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in out}
+    assert all(r.exact for r in out) and 6 not in kept and 7 not in kept and {4, 13} <= kept
+    # of the copies 1 (twice), 2 and 3 the rows of the first stay, and the one without an id
+    assert sorted(str(r.doc_id) for r in out if r.doc_id in (None, 1, 2, 3)) == ["1", "1", "None"]
+    spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
