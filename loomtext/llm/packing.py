@@ -36,13 +36,23 @@ SLACK = 1.02
 BLOCK = 256
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and what rounding took from them."""
+    total = a + b
+    part = total - a
+    return total, (a - (total - part)) + (b - part)
+
+
 def pack(demand: np.ndarray, bins: np.ndarray) -> np.ndarray:
     """Bin of each vector; ``bins`` holds the capacities, one row a bin."""
     residual = bins.astype(float).copy()
     out = np.empty(len(demand), np.int64)
     for i in np.lexsort((np.arange(len(demand)), -demand.max(axis=1, initial=0))):
         need = demand[i]
-        score = residual[:, 0] * need[0] + residual[:, 1] * need[1] + residual[:, 2] * need[2]  # rounded alike in every row, so that ties stay ties
+        # summed with the rounding made good, so that ties stay ties
+        score, first = _added(residual[:, 0] * need[0], residual[:, 1] * need[1])
+        score, second = _added(score, residual[:, 2] * need[2])
+        score += first + second
         fits = (residual >= need - 1e-12).all(axis=1)
         if fits.any():
             score[~fits] = -np.inf
