@@ -386,7 +386,7 @@ def robots(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "allowed")
 
 
-@_query(r"""SELECT doc_id, CASE WHEN upper(source) SIMILAR TO '[A-Z][A-Z\s]{3,}' THEN [upper(source)] ELSE [] END || ['1. ' || upper(left(lang, 1)) || substr(lang, 2)] AS headings FROM documents""".replace("\\s", "\s"))
+@_query(r"""SELECT doc_id, CASE WHEN upper(source) SIMILAR TO '[A-Z][A-Z\s]{3,}' THEN [upper(source)] ELSE [] END || ['1. ' || upper(left(lang, 1)) || substr(lang, 2)] AS headings FROM documents""")
 def pdf_headings(spark: SparkSession, sf: str) -> DataFrame:
     """Of each document's text with two lines that are headings before it and some that are not."""
     head = F.concat_ws("\n", F.upper("source"), F.concat(F.lit("1. "), F.initcap("lang")), F.lit("1.2 Sub\nABC\nTHE END."))
