@@ -151,6 +151,19 @@ def test_collinear_passage_whose_parts_stand_in_earlier_documents(spark):
     assert {(x.doc_id, x.source_doc_id) for x in got if x.doc_id >= 300 and x.start_word <= 50 and x.end_word >= 110} == {(300 + n, 200 + n) for n in range(40)}
 
 
+def test_collinear_passage_whose_parts_are_frequent(spark):
+    """All seeds of the passage are in more documents than are linked, and their first documents hold only parts of it."""
+    p = prose("frequent", 64).split()
+    near = lambda n, words: f"{prose(f'before{n}', 50)} {' '.join(words)} {prose(f'after{n}', 50)}"
+    parts = [p[a : a + 39] for a in (0, 6, 12, 18, 25)]
+    rows = [(20 * i + n, near(20 * i + n, part)) for i, part in enumerate(parts) for n in range(20)]
+    rows += [(n, near(n, p)) for n in (200, 201, 202)]
+    found = collections.defaultdict(set)
+    for x in collinear.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[x.doc_id, x.source_doc_id].update(range(x.start_word, x.end_word))
+    assert all(found[n, 200] >= set(range(50, 114)) for n in (201, 202))
+
+
 def test_chain_is_optimal():
     r = random.Random(1)
     for _ in range(100):
