@@ -199,6 +199,22 @@ def brute_groups(frame, tau):
     return {d: g for d, g in of.items() if n[g] > 1}
 
 
+@pytest.mark.parametrize("hot", [4, metric_join.HOT])
+@pytest.mark.parametrize(("which", "tau"), [("table", metric_join.TAU), ("odd", metric_join.TAU), ("table", 0.3)])
+def test_jaccard_counts_every_link(request, which, tau, hot):
+    docs = request.getfixturevalue(which)
+    ids, w = tokenized(docs.toPandas())
+    g, ptr = metric_join.gram_sets(w, metric_join.N)
+    sets = {int(d): set(g[a:b].tolist()) for d, a, b in zip(ids, ptr[:-1], ptr[1:]) if b > a}
+    near = collections.defaultdict(list)
+    for x, y in itertools.combinations(sets, 2):
+        share = len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+        if share >= tau - 1e-9:
+            near[x].append((-share, y)), near[y].append((-share, x))
+    want = {d: (len(at), min(at)[1], round(-min(at)[0], 6)) for d, at in near.items()}
+    assert {r.doc_id: (r.links, r.partner_id, r.jaccard) for r in metric_join.groups(docs, tau=tau, hot=hot).collect()} == want
+
+
 @pytest.mark.parametrize(("which", "tau"), [("table", metric_join.TAU), ("odd", metric_join.TAU), ("table", 0.3)])
 def test_jaccard_groups_are_exact(request, which, tau):
     docs = request.getfixturevalue(which)
