@@ -6,7 +6,8 @@ are counted over the whole corpus, and the most frequent ones, as many as
 over the array of a word's bytes, at each step joining the neighbours of lowest
 rank, with the ranks in a literal map (two places by hash, so that a lookup
 takes one step).  Bytes are kept as characters U+0000 to U+00FF.  The encoded
-words travel to the tasks, where texts take their ids from them without a
+words are hashed, sorted and laid out by tasks, so that the driver only joins
+their bytes, and travel to the tasks, where texts take their ids from them without a
 shuffle of the corpus; the distinct words of a text that are not among them are
 folded there by the same expression.  So the limit moves work only.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import base64
 import json
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm import packed
 from loomtext.llm.words import _buffers, _power_tables, mix64
 from loomtext.runtime import release, scratch
 
@@ -46,6 +49,9 @@ LONG_WORD = 1 << 10
 #: Words that are looked up, and bytes that are hashed, at once.
 SLICE_WORDS = 1 << 19
 HASHED_BYTES = 1 << 18
+#: Ranges of hashes in which the encoded words come to the driver, one after the other.
+RANGES = 16
+LAYOUT = ["hash", "word", "length", "ids", "count"]
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[str, int]:
@@ -80,6 +86,7 @@ class Vocabulary:
 
     def __init__(self, spark: SparkSession, ranks: dict[str, int]) -> None:
         self.ranks = ranks
+        self.shared_ranks = spark.sparkContext.broadcast(ranks)
         self.slots = SLOTS
         while self.slots < 3 * len(ranks):
             self.slots *= 2
@@ -186,17 +193,51 @@ def frequent(words: DataFrame, cost: Column, limit: int) -> DataFrame:
     return words.where(F.lit(False) if floor is None else band >= floor)
 
 
-def encoded_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", limit: int = DICTIONARY_BYTES) -> pa.Table:
-    """(word, ids) of the most frequent words, as many as take ``limit`` bytes."""
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, h, word, ids): the words with their hashes, and the ranges these are in."""
+    for batch in batches:
+        h = _hashes(batch.column("word"))
+        part = (h >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h.view(np.int64)), batch.column("word"), batch.column("ids")], names=["part", "h", "word", "ids"])
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's words by hash as the bytes of its columns."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).combine_chunks()
+    h = rows.column("h").to_numpy().view(np.uint64)
+    rows = rows.take(pa.array(np.argsort(h, kind="stable"))).combine_chunks()
+    words, ids = rows.column("word").chunk(0), rows.column("ids").chunk(0)
+    columns = [
+        rows.column("h").to_numpy(),
+        _buffers(words)[0],
+        pc.binary_length(words).to_numpy().astype(np.int32),
+        ids.flatten().to_numpy().astype(np.int32),
+        pc.list_value_length(ids).to_numpy().astype(np.int32),
+    ]
+    yield pa.RecordBatch.from_arrays([rows.column("part").chunk(0).slice(0, 1), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=["part", *LAYOUT])
+
+
+def encoded_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", limit: int = DICTIONARY_BYTES) -> tuple[bytes, ...]:
+    """The most frequent words, as many as take ``limit`` bytes, by hash: the bytes of the columns of ``LAYOUT``."""
     words = scratch(counted_words(docs, text_col), "words")
     # before folding a word is taken to have an id for each four bytes and one more, afterwards they are counted
     likely = frequent(words.where(F.octet_length("word") <= LONG_WORD), 2 * F.octet_length("word") + 20, limit)
     # merging is work for the CPU, not for the reader of few bytes: it is spread over all tasks
     spread = likely.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     folded = scratch(spread.select("word", "n", vocabulary.fold(F.col("word")).alias("ids")), "folded")
-    out = frequent(folded, F.octet_length("word") + 4 * F.size("ids") + 16, limit).select("word", "ids").toArrow()
-    release(words, folded)
-    return out
+    known = frequent(folded, F.octet_length("word") + 4 * F.size("ids") + 16, limit).select("word", "ids")
+    ranges = known.mapInArrow(_placed, "part int, h long, word string, ids array<int>").repartitionById(RANGES, F.col("part"))
+    laid = scratch(ranges.mapInArrow(_laid_out, "part int, " + ", ".join(f"{c} binary" for c in LAYOUT)), "laid")
+    # one range at a time comes to the driver, a column at a time
+    out = []
+    for column in LAYOUT:
+        pieces = {row["part"]: bytes(row[column]) for row in laid.select("part", column).toLocalIterator()}
+        out.append(b"".join(pieces[part] for part in sorted(pieces)))
+    release(words, folded, laid)
+    return tuple(out)
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -219,12 +260,10 @@ def _hashes(words: pa.Array) -> np.ndarray:
 class _Dictionary:
     """Ids of the frequent words by hash; one in each Python worker, its arrays lie in the broadcast bytes."""
 
-    def __init__(self, data: bytes) -> None:
-        rows = pa.ipc.open_stream(data).read_all().combine_chunks()
-        self.hash, words, ids = (rows.column(c).chunk(0) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("h", "word", "ids"))
-        self.hash, self.words = self.hash.to_numpy(), words
-        self.ids = ids.values.to_numpy()
-        self.ptr = ids.offsets.to_numpy() if len(ids) else np.zeros(1, np.int32)
+    def __init__(self, data: tuple[bytes, ...]) -> None:
+        self.hash, length, self.ids, count = (np.frombuffer(data[LAYOUT.index(c)], kind) for c, kind in (("hash", np.uint64), ("length", np.int32), ("ids", np.int32), ("count", np.int32)))
+        ends, self.ptr = (np.concatenate((np.zeros(1, np.int32), np.cumsum(c, dtype=np.int32))) for c in (length, count))
+        self.words = pa.Array.from_buffers(pa.string(), len(self.hash), [None, pa.py_buffer(ends), pa.py_buffer(data[LAYOUT.index("word")])])
 
     def find(self, words: pa.Array) -> np.ndarray:
         """The place of each word, -1 where it is not known."""
@@ -294,14 +333,9 @@ def _coder(table, ranks, key: str):  # noqa: ANN001
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "ids", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """The rows with the ids of their text."""
-    context = docs.sparkSession.sparkContext
-    known = encoded_words(docs, vocabulary, text_col, dictionary_bytes).combine_chunks()
-    h = _hashes(known.column("word").chunk(0)) if known.num_rows else np.zeros(0, np.uint64)
-    known = known.append_column("h", pa.array(h)).take(pa.array(np.argsort(h, kind="stable")))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, known.schema) as stream:
-        stream.write_table(known.combine_chunks())
-    code = _coder(context.broadcast(sink.getvalue().to_pybytes()), context.broadcast(vocabulary.ranks), uuid.uuid4().hex)
+    table = docs.sparkSession.sparkContext.broadcast(encoded_words(docs, vocabulary, text_col, dictionary_bytes))
+    packed.give_back()
+    code = _coder(table, vocabulary.shared_ranks, uuid.uuid4().hex)
     either = lambda test, yes, no: F.call_function("if", test, yes, no)
     placed = lambda codes, folded: F.flatten(F.transform(codes, lambda c: either(c < 0, F.get(folded, -c - 1), F.array(c))))
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))

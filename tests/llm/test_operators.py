@@ -456,6 +456,17 @@ def test_pages_past_equal_ones(spark, tmp_path):
     assert [got[n][0] for n in range(9)] == [3] * 3 + [2] * 3 + [5] * 3
 
 
+def test_bpe_words_are_laid_out_by_tasks(spark, table, monkeypatch):
+    """The driver joins the bytes of ranges of words; it holds no table of them, and shares the ranks between runs."""
+    v = queries.vocabulary(spark)
+    monkeypatch.setattr(type(table), "toArrow", None)
+    parts = dict(zip(bpe.LAYOUT, bpe.encoded_words(table, v)))
+    h, count = np.frombuffer(parts["hash"], np.uint64), np.frombuffer(parts["count"], np.int32)
+    n = bpe.counted_words(table).where(F.octet_length("word") <= bpe.LONG_WORD).count()
+    assert len(h) == n > 0 and (h[1:] >= h[:-1]).all() and count.sum() * 4 == len(parts["ids"])
+    assert all(r.exact for r in bpe.round_trip(table, v).select("exact").collect())
+
+
 def test_empty_and_long(empty):
     assert collinear.repeated_passages(empty).count() == 0
     assert suffix_dedup.repeated_spans(empty).count() == 0
