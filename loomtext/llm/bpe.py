@@ -1,6 +1,8 @@
 """Byte-level BPE encoding and decoding with a public vocabulary.
 
-Encoding: texts are cut to words by the vocabulary's pattern.  Distinct words
+Encoding: texts are cut to words as the vocabulary's pattern does, from the
+classes of their characters, many texts at once; Spark's own regular expressions
+give the class of each code point.  Distinct words
 are counted over the whole corpus, and the most frequent ones, as many as
 ``dictionary_bytes`` hold, are encoded once: a Spark ``aggregate`` folds merges
 over the array of a word's bytes, at each step joining the neighbours of lowest
@@ -9,7 +11,8 @@ takes one step).  Bytes are kept as characters U+0000 to U+00FF.  The encoded
 words are hashed, sorted and laid out by tasks, so that the driver only joins
 their bytes, and travel to the tasks, where texts take their ids from them without a
 shuffle of the corpus; the distinct words of a text that are not among them are
-folded there by the same expression.  So the limit moves work only.
+folded there by the same expression, and stand between runs of the others' ids.
+So the limit moves work only.
 
 Decoding: the pieces of the ids are joined to one byte string, which is UTF-8.
 
@@ -30,11 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import packed
-from loomtext.llm.words import _buffers, _power_tables, mix64
+from loomtext.llm.words import _buffers, _power_tables, mix64, slices
 from loomtext.runtime import release, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -46,9 +50,12 @@ NONE = 2147483647
 SHIFT = 1 << 31
 DICTIONARY_BYTES = 48 << 20
 LONG_WORD = 1 << 10
-#: Words that are looked up, and bytes that are hashed, at once.
-SLICE_WORDS = 1 << 19
+#: Bytes of text that are cut, bytes of words that are counted, and bytes that are hashed, at once.
+CUT_BYTES = 1 << 21
+COUNTED_BYTES = 1 << 24
 HASHED_BYTES = 1 << 18
+#: Classes of characters.
+SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Ranges of hashes in which the encoded words come to the driver, one after the other.
 RANGES = 16
 LAYOUT = ["hash", "word", "length", "ids", "count"]
@@ -110,30 +117,35 @@ class Vocabulary:
         return let(self._tables, lambda tables: let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), lambda text: self._fold(tables, text, let)))
 
     def _fold(self, tables: Column, text: Column, let) -> Column:  # noqa: ANN001
-        """The state is the places between pieces, each with the rank that joining there would give in its upper bits."""
+        """The state is the places between pieces, each with the rank that joining there would give in its upper bits; at the ends, where nothing joins, NONE."""
         either = lambda test, yes, no: F.call_function("if", test, yes, no)
         place = lambda x: (x % F.lit(SHIFT)).cast("int")
         size = F.length(text)
+        end = lambda at: at.cast("long") + F.lit(NONE * SHIFT)
 
         def rank(piece: Column) -> Column:
             """The rank of a piece, NONE if the vocabulary lacks it."""
-            one, two = (F.get(tables["s"], x) for x in self._places(piece))
-            fits = lambda x: F.get(tables["p"], x).eqNullSafe(piece)
-            return let(one, lambda x: either(fits(x), x, let(two, lambda y: either(fits(y), y, F.lit(NONE)))))
+            fits = lambda x, own: F.get(tables["p"], x).eqNullSafe(own)
+            slot = lambda own, which: F.get(tables["s"], self._places(own)[which])
+            second = lambda own: let(slot(own, 1), lambda y: either(fits(y, own), y, F.lit(NONE)))
+            return let(piece, lambda own: let(slot(own, 0), lambda x: either(fits(x, own), x, second(own))))
 
         def merge(state: Column, best: Column) -> Column:
             def joined(rest: Column, i: Column) -> Column:
-                at = lambda j: either(j < 1, F.lit(0), either(j > F.size(rest), size, place(F.get(rest, j - 1))))
-                entry = lambda j: let(at(j - 1), lambda low: rank(F.substr(text, low + 1, at(j + 1) - low)).cast("long") * F.lit(SHIFT) + at(j))
-                sides = F.transform(F.sequence(F.greatest(i - 1, F.lit(1)), F.least(i, F.size(rest))), entry)
-                return F.concat(F.slice(rest, F.lit(1), F.greatest(i - 2, F.lit(0))), sides, F.slice(rest, i + 1, F.size(rest)))
-
-            whole = lambda i: let(F.array_remove(state, best), lambda rest: either(F.size(rest) == 0, rest, joined(rest, i)))
-            return let(F.array_position(state, best).cast("int"), whole)
-
-        start = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substr(text, i, F.lit(2))).cast("long") * F.lit(SHIFT) + i)
-        step = lambda state, _: let(F.array_min(state), lambda best: either(F.coalesce(best < NONE * SHIFT, F.lit(False)), merge(state, best), state))
-        cuts = lambda state: F.concat(F.array(F.lit(0)), F.transform(state, place), F.array(size))
+                """``i`` is the index that is gone; what joins on either side of it has a new rank."""
+                at = lambda j: place(F.get(rest, j))
+                entry = lambda x, j: rank(let(at(j - 1), lambda low: F.substr(text, low + 1, at(j + 1) - low))).cast("long") * F.lit(SHIFT) + place(x)
+                first = F.greatest(i - 1, F.lit(1))
+                sides = let(first, lambda low: F.transform(F.slice(rest, low + 1, F.least(i, F.size(rest) - 2) - low + 1), lambda x, k: entry(x, low + k)))
+                return F.concat(F.slice(rest, F.lit(1), first), sides, F.slice(rest, F.least(i, F.size(rest) - 2) + 2, F.size(rest)))
+
+            whole = lambda i: let(F.array_remove(state, best), lambda rest: either(F.size(rest) == 2, rest, joined(rest, i)))
+            return let(F.array_position(state, best).cast("int") - 1, whole)
+
+        inner = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substr(text, i, F.lit(2))).cast("long") * F.lit(SHIFT) + i)
+        start = F.concat(F.array(end(F.lit(0))), inner, F.array(end(size)))
+        step = lambda state, _: let(F.array_min(state), lambda best: either(best < NONE * SHIFT, merge(state, best), state))
+        cuts = lambda state: F.transform(state, place)
         ids = lambda at: F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda k: rank(F.substr(text, F.get(at, k - 1) + 1, F.get(at, k) - F.get(at, k - 1))))
         folded = let(cuts(F.aggregate(F.sequence(F.lit(2), size), start, step)), ids)
         # a word that is a piece needs no merges
@@ -175,9 +187,114 @@ def split_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+_classes: dict[str, Broadcast] = {}
+
+
+def classes(spark: SparkSession) -> Broadcast:
+    """The class of each code point as the pattern sees it, for one session; surrogates are no characters."""
+    app = spark.sparkContext.applicationId
+    if app not in _classes:
+        step = 1 << 12
+        chars = [(a, "".join(map(chr, range(a, a + step)))) for a in range(0, 0x110000, step) if not 0xD800 <= a < 0xE000]
+        text = F.col("text")
+        for kind, one in ((r"[^\s\p{L}\p{N}]", "!"), (r"\p{L}", "a"), (r"\p{N}", "0"), (r"\s", " ")):
+            text = F.regexp_replace(text, "(?U)" + kind, one)
+        table = np.full(0x110000, OTHER, np.uint8)
+        for a, kinds in spark.createDataFrame(chars, "at int, text string").select("at", text).collect():
+            table[a : a + step] = [" a0!".index(c) for c in kinds]
+        _classes[app] = spark.sparkContext.broadcast(table.tobytes())
+    return _classes[app]
+
+
+def _kinds(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each byte's character, in valid UTF-8."""
+    kinds = table[:256][data]
+    at = np.flatnonzero(data >= 0xC0)
+    more = (data[at] >= 0xE0).astype(np.int8) + (data[at] >= 0xF0) + 1
+    for k in (1, 2, 3):
+        lead = at[more == k]
+        point = (data[lead] & (0x3F >> k)).astype(np.int32)
+        for j in range(1, k + 1):
+            point = point << 6 | data[lead + j] & 0x3F
+        kind = table[point]
+        for j in range(k + 1):
+            kinds[lead + j] = kind
+    return kinds
+
+
+def cut(texts: pa.Array, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts as ``PATTERN`` finds them, and where each text's begin."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        texts = pa.array([t.decode(errors="replace") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+    data, off = _buffers(texts)
+    n = len(data)
+    if not n:
+        return pa.array([], pa.string()), np.zeros(len(off), np.int64)
+    kinds = _kinds(data, table)
+    border = np.zeros(n + 1, bool)
+    border[off] = True
+    change = border[:-1].copy()
+    change[1:] |= kinds[1:] != kinds[:-1]
+    first = np.flatnonzero(change)
+    last = np.append(first[1:], n)
+    kind = kinds[first]
+    start = np.zeros(n + 1, bool)
+    # a run of blanks is one word; before another word its last one goes with that, or is its own if it is no space
+    blank = kind == SPACE
+    start[first[blank]] = True
+    end = last[blank]
+    end = end[~border[end]] - 1
+    for _ in range(3):
+        end -= (data[end] & 0xC0) == 0x80
+    start[end] = True
+    # any other run is one word, with the space before it
+    run = first[~blank]
+    spaced = ~border[run] & (data[run - 1] == 0x20)
+    start[run - spaced] = True
+    # an apostrophe alone takes the letters of a contraction
+    mark = run[~spaced & (data[run] == 0x27) & (last[~blank] == run + 1)] + 1
+    mark = mark[~border[mark]]
+    one, two = data[mark], data[np.minimum(mark + 1, n - 1)]
+    is_one, is_two = np.isin(one, list(b"stmd")), ((two == ord("e")) & np.isin(one, list(b"rv")) | (two == ord("l")) & (one == ord("l"))) & ~border[np.minimum(mark + 1, n)]
+    start[mark[is_one | is_two]] = False
+    start[np.concatenate((mark[is_one] + 1, mark[is_two] + 2))] = True
+    at = np.flatnonzero(start[:n])
+    ends = np.append(at, n).astype(np.int32 if n <= 2147483647 else np.int64)
+    return pa.Array.from_buffers(pa.string() if ends.dtype == np.int32 else pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)]), np.searchsorted(at, off)
+
+
+def _counter(table: Broadcast):  # noqa: ANN202
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = np.frombuffer(table.value, np.uint8)
+        held: list[pa.Array] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            found = pc.value_counts(pa.chunked_array(held, pa.string()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+
+        for part in slices(batches, "text", CUT_BYTES):
+            texts = part.column("text")
+            held.append(cut(texts, kinds)[0].cast(pa.string()))
+            size += len(_buffers(texts)[0])
+            if size >= COUNTED_BYTES:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+        packed.give_back()
+
+    return counted
+
+
 def counted_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) of all distinct words of the corpus."""
-    return docs.select(F.explode(split_words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_counter(classes(docs.sparkSession)), "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(words: DataFrame, cost: Column, limit: int) -> DataFrame:
@@ -281,12 +398,10 @@ class _Dictionary:
 _dictionaries: dict[str, _Dictionary] = {}
 
 
-def _coded(lists: pa.Array, known: _Dictionary, ranks: dict[str, int]) -> pa.Array:
-    """(codes, rare) of lists of words: ids of known words, and -1 - i for the i-th of the words that the dictionary lacks."""
-    null = lists.is_null().to_numpy(zero_copy_only=False)
-    flat = lists.flatten()
-    length = np.where(null, 0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
-    row = np.repeat(np.arange(len(lists)), length)
+def _coded(texts: pa.Array, kinds: np.ndarray, known: _Dictionary, ranks: dict[str, int]) -> pa.Array:
+    """(parts, rare) of texts: runs of ids of known words, and -1 - i for the i-th of the words that the dictionary lacks."""
+    flat, last = cut(texts, kinds)
+    row = np.repeat(np.arange(len(texts)), np.diff(last))
     coded = flat.dictionary_encode()
     which, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
     at = known.find(words)
@@ -299,7 +414,7 @@ def _coded(lists: pa.Array, known: _Dictionary, ranks: dict[str, int]) -> pa.Arr
     rare = np.flatnonzero(at < 0)
     pair, back = np.unique(row[rare] * (len(words) + 1) + which[rare], return_inverse=True)
     owner = pair // (len(words) + 1)
-    begin = np.searchsorted(owner, np.arange(len(lists) + 1))
+    begin = np.searchsorted(owner, np.arange(len(texts) + 1))
     begins = ptr[np.maximum(at, 0)]
     size = np.where(at < 0, 1, ptr[np.minimum(np.maximum(at, 0) + 1, len(ptr) - 1)] - begins)
     total = np.concatenate(([0], np.cumsum(size)))
@@ -308,25 +423,23 @@ def _coded(lists: pa.Array, known: _Dictionary, ranks: dict[str, int]) -> pa.Arr
     mine = np.repeat(at >= 0, size)
     codes[mine] = ids[place[mine]]
     codes[total[rare]] = -1 - (back - begin[row[rare]])
-    last = np.concatenate(([0], np.cumsum(length)))
-    mask = pa.array(null)
+    # parts end with a text, and before and after each rare word
+    alone = total[rare]
+    ends = np.unique(np.concatenate((total[last], alone, alone + 1)))
     lists_of = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-    return pa.StructArray.from_arrays([lists_of(pa.array(codes), total[last]), lists_of(words.take(pa.array(pair % (len(words) + 1))), begin)], names=["codes", "rare"], mask=mask)
+    parts = lists_of(lists_of(pa.array(codes), ends), np.searchsorted(ends, total[last]))
+    return pa.StructArray.from_arrays([parts, lists_of(words.take(pa.array(pair % (len(words) + 1))), begin)], names=["parts", "rare"], mask=texts.is_null())
 
 
-def _coder(table, ranks, key: str):  # noqa: ANN001
-    @F.arrow_udf("struct<codes:array<int>,rare:array<string>>")
-    def code(lists: pa.Array) -> pa.Array:
+def _coder(table: Broadcast, ranks: Broadcast, kinds: Broadcast, key: str):  # noqa: ANN202
+    @F.arrow_udf("struct<parts:array<array<int>>,rare:array<string>>")
+    def code(texts: pa.Array) -> pa.Array:
         if key not in _dictionaries:
             _dictionaries.clear()
             _dictionaries[key] = _Dictionary(table.value)
-        parts, first = [], 0
-        size = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        while first < len(lists):  # texts are looked up some at a time
-            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SLICE_WORDS, side="right")))
-            parts.append(_coded(lists.slice(first, last - first), _dictionaries[key], ranks.value))
-            first = last
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("codes", pa.list_(pa.int32())), ("rare", pa.list_(pa.string()))]))
+        rows = pa.RecordBatch.from_arrays([texts], names=["text"])
+        coded = [_coded(x.column("text"), np.frombuffer(kinds.value, np.uint8), _dictionaries[key], ranks.value) for x in slices(iter([rows]), "text", CUT_BYTES)]
+        return pa.concat_arrays(coded) if coded else pa.array([], pa.struct([("parts", pa.list_(pa.list_(pa.int32()))), ("rare", pa.list_(pa.string()))]))
 
     return code
 
@@ -335,14 +448,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out:
     """The rows with the ids of their text."""
     table = docs.sparkSession.sparkContext.broadcast(encoded_words(docs, vocabulary, text_col, dictionary_bytes))
     packed.give_back()
-    code = _coder(table, vocabulary.shared_ranks, uuid.uuid4().hex)
+    code = _coder(table, vocabulary.shared_ranks, classes(docs.sparkSession), uuid.uuid4().hex)
     either = lambda test, yes, no: F.call_function("if", test, yes, no)
-    placed = lambda codes, folded: F.flatten(F.transform(codes, lambda c: either(c < 0, F.get(folded, -c - 1), F.array(c))))
+    placed = lambda parts, folded: F.transform(parts, lambda p: either(F.get(p, F.lit(0)) < 0, F.get(folded, -F.get(p, F.lit(0)) - 1), p))
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
     coded = F.col("__coded")
-    ids = either(F.size(coded["rare"]) == 0, coded["codes"], let(F.transform(coded["rare"], vocabulary.fold), lambda folded: placed(coded["codes"], folded)))
-    rows = docs.drop(out).withColumn("__coded", code(split_words(F.col(text_col))))
-    return rows.select(*(c for c in docs.columns if c != out), F.when(F.col(text_col).isNotNull(), ids).alias(out))
+    parts = either(F.size(coded["rare"]) == 0, coded["parts"], let(F.transform(coded["rare"], vocabulary.fold), lambda folded: placed(coded["parts"], folded)))
+    rows = docs.drop(out).withColumn("__coded", code(F.col(text_col)))
+    # flattened outside of any lambda function, where Spark compiles it
+    return rows.select(*(c for c in docs.columns if c != out), F.when(F.col(text_col).isNotNull(), F.flatten(parts)).alias(out))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:

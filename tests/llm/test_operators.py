@@ -467,6 +467,27 @@ def test_bpe_words_are_laid_out_by_tasks(spark, table, monkeypatch):
     assert all(r.exact for r in bpe.round_trip(table, v).select("exact").collect())
 
 
+def test_bpe_cuts_words_as_the_pattern_does(spark, table, monkeypatch):
+    """Texts are cut many at once, to the words that the pattern finds, without running it on each text."""
+    r = random.Random(5)
+    parts = ["'", "'s", "'re", "'ve", "'ll", "'l", "'r", "'S", *"stedm", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2028", *"éß日٣½5!?-", "\0", "😀", "\U0001d400", "\u0301", "\x1c", "\x85", "\u200b", "ab"]
+    texts = [None, "", " ", "x's", "''s", "'sfoo", " 's", "'re", "'r", "a \n b", "a\u3000b", "a\u3000", *("".join(r.choices(parts, k=r.randrange(40))) for _ in range(5000))]
+    want = [row.w for row in spark.createDataFrame([(t,) for t in texts], "text string").select(bpe.split_words(F.col("text")).alias("w")).collect()]
+    for size in (len(texts), 700):  # also as slices of a larger array
+        got = []
+        for at in range(0, len(texts), size):
+            found, ptr = bpe.cut(pa.array(texts).slice(at, size), np.frombuffer(bpe.classes(spark).value, np.uint8))
+            found = found.to_pylist()
+            got += [found[a:b] for a, b in zip(ptr[:-1], ptr[1:])]
+        assert got == [w or [] for w in want]
+    monkeypatch.setattr(bpe, "split_words", None)
+    broken = spark.createDataFrame([(1, b"caf\xc3"), (2, b"\xa9 au lait"), (3, b"caf\xc3\xa9")], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    rows = {x.doc_id: x for x in bpe.round_trip(broken, queries.vocabulary(spark)).collect()}
+    assert [rows[i].exact for i in (1, 2, 3)] == [False, False, True]
+    rows = bpe.round_trip(table.where("doc_id % 10 = 0"), queries.vocabulary(spark), dictionary_bytes=20_000).select("doc_id", "ids", "exact")
+    assert all(x.exact for x in rows.collect())
+
+
 def test_empty_and_long(empty):
     assert collinear.repeated_passages(empty).count() == 0
     assert suffix_dedup.repeated_spans(empty).count() == 0
