@@ -398,17 +398,29 @@ class _Dictionary:
 _dictionaries: dict[str, _Dictionary] = {}
 
 
-def _coded(texts: pa.Array, kinds: np.ndarray, known: _Dictionary, ranks: dict[str, int]) -> pa.Array:
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indexes of runs, one after the other."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _coded(texts: pa.Array, kinds: np.ndarray, known: _Dictionary, ranks: Broadcast) -> pa.Array:
     """(parts, rare) of texts: runs of ids of known words, and -1 - i for the i-th of the words that the dictionary lacks."""
     flat, last = cut(texts, kinds)
     row = np.repeat(np.arange(len(texts)), np.diff(last))
     coded = flat.dictionary_encode()
     which, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
     at = known.find(words)
+    hit = np.flatnonzero(at >= 0)
     long = np.flatnonzero((at < 0) & (pc.binary_length(words).to_numpy(zero_copy_only=False) > LONG_WORD))
-    merged = [merge_bytes(w, ranks) for w in words.take(pa.array(long)).to_pylist()]
-    ids, ptr = np.concatenate([known.ids, *(np.array(x, np.int32) for x in merged)]), np.append(known.ptr, known.ptr[-1] + np.cumsum([len(x) for x in merged], dtype=np.int64))
-    at[long] = len(known.hash) + np.arange(len(long))
+    merged = [merge_bytes(w, ranks.value) for w in words.take(pa.array(long)).to_pylist()]
+    # only the ids of these texts' words are copied, each word's once
+    begins = known.ptr[at[hit]]
+    size = known.ptr[at[hit] + 1] - begins
+    ids = np.concatenate([known.ids[_runs(begins, size)], *(np.array(x, np.int32) for x in merged)])
+    ptr = np.concatenate(([0], np.cumsum(np.concatenate((size, np.array([len(x) for x in merged], np.int64))))))
+    at = np.full(len(words), -1, np.int64)
+    at[hit], at[long] = np.arange(len(hit)), len(hit) + np.arange(len(long))
     at = at[which]
     # each row's rare words, once
     rare = np.flatnonzero(at < 0)
@@ -419,9 +431,8 @@ def _coded(texts: pa.Array, kinds: np.ndarray, known: _Dictionary, ranks: dict[s
     size = np.where(at < 0, 1, ptr[np.minimum(np.maximum(at, 0) + 1, len(ptr) - 1)] - begins)
     total = np.concatenate(([0], np.cumsum(size)))
     codes = np.empty(total[-1], np.int32)
-    place = np.repeat(begins - total[:-1], size) + np.arange(total[-1])
-    mine = np.repeat(at >= 0, size)
-    codes[mine] = ids[place[mine]]
+    mine = at >= 0
+    codes[np.repeat(mine, size)] = ids[_runs(begins[mine], size[mine])]
     codes[total[rare]] = -1 - (back - begin[row[rare]])
     # parts end with a text, and before and after each rare word
     alone = total[rare]
@@ -433,13 +444,16 @@ def _coded(texts: pa.Array, kinds: np.ndarray, known: _Dictionary, ranks: dict[s
 
 def _coder(table: Broadcast, ranks: Broadcast, kinds: Broadcast, key: str):  # noqa: ANN202
     @F.arrow_udf("struct<parts:array<array<int>>,rare:array<string>>")
-    def code(texts: pa.Array) -> pa.Array:
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if key not in _dictionaries:
             _dictionaries.clear()
             _dictionaries[key] = _Dictionary(table.value)
-        rows = pa.RecordBatch.from_arrays([texts], names=["text"])
-        coded = [_coded(x.column("text"), np.frombuffer(kinds.value, np.uint8), _dictionaries[key], ranks.value) for x in slices(iter([rows]), "text", CUT_BYTES)]
-        return pa.concat_arrays(coded) if coded else pa.array([], pa.struct([("parts", pa.list_(pa.list_(pa.int32()))), ("rare", pa.list_(pa.string()))]))
+        for texts in batches:
+            rows = pa.RecordBatch.from_arrays([texts], names=["text"])
+            # each slice's ids leave before the next is cut: all of a batch's would be as large as its texts, here and in Spark
+            for x in slices(iter([rows]), "text", CUT_BYTES):
+                yield _coded(x.column("text"), np.frombuffer(kinds.value, np.uint8), _dictionaries[key], ranks)
+        packed.give_back()
 
     return code
 

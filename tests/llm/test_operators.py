@@ -488,6 +488,35 @@ def test_bpe_cuts_words_as_the_pattern_does(spark, table, monkeypatch):
     assert all(x.exact for x in rows.collect())
 
 
+def test_bpe_codes_a_slice_at_a_time(spark, table, monkeypatch):
+    """A worker holds the ids of one slice of a batch's texts, and of the dictionary no copy but of these texts' words."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    v, kinds = queries.vocabulary(spark), bpe.classes(spark)
+    data = bpe.encoded_words(table, v, limit=20_000)
+    texts = pa.array([r.text for r in table.select("text").collect()] + [None, "", "ab" * 20_000 + " x", None])
+    known = bpe._Dictionary(data)
+    known.ids = np.concatenate((known.ids, np.zeros(1 << 23, np.int32)))
+    tracemalloc.start()
+    bpe._coded(texts.slice(0, 5), np.frombuffer(kinds.value, np.uint8), known, v.shared_ranks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < known.ids.nbytes / 2
+    whole = bpe._coded(texts, np.frombuffer(kinds.value, np.uint8), known, v.shared_ranks).to_pylist()
+    assert any(x and x["rare"] for x in whole)
+    monkeypatch.setattr(bpe, "_dictionaries", {})
+    monkeypatch.setattr(bpe, "CUT_BYTES", 5_000)
+    read = []
+    batches = (read.append(1) or texts.slice(a, n) for a, n in ((0, 50), (50, 0), (50, len(texts) - 50)))
+    pieces = bpe._coder(SimpleNamespace(value=data), v.shared_ranks, kinds, "test").func(batches)
+    first = next(pieces)
+    assert 0 < len(first) < 50 and len(read) == 1
+    # the numbers of a text's rare words may differ, but not the words
+    named = lambda rows: [x and [x["rare"][-1 - p[0]] if p[0] < 0 else p for p in x["parts"]] for x in rows]
+    assert named(first.to_pylist() + [x for piece in pieces for x in piece.to_pylist()]) == named(whole)
+
+
 def test_empty_and_long(empty):
     assert collinear.repeated_passages(empty).count() == 0
     assert suffix_dedup.repeated_spans(empty).count() == 0
