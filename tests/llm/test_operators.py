@@ -712,3 +712,53 @@ def test_pipeline_on_odd_tables(spark, sf, tmp_path):
     assert sorted(str(r.doc_id) for r in out if r.doc_id in (None, 1, 2, 3)) == ["1", "1", "None"]
     spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_jaccard_writes_no_row_for_each_pair(spark, monkeypatch):
+    """A cluster of n near documents is written as rows for documents and as a forest, once its pairs are counted."""
+    n = 120
+    docs = spark.createDataFrame([(i, " ".join(f"c{j}" for j in range(80) if j != i % 60) + f" own{i}") for i in range(n)], "doc_id long, text string").repartition(3)
+    rows = collections.defaultdict(list)
+    scratch = metric_join.scratch
+
+    def counted(df, name):
+        out = scratch(df, name)
+        rows[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(metric_join, "scratch", counted)
+    got = metric_join.groups(docs).toPandas()
+    assert set(got.links) == {n - 1} and set(got.group_id) == {0}
+    assert rows["linked"] == [n] and max(rows["edges"]) < 4 * n
+
+
+def test_packed_rows_are_folded_as_they_come(spark, monkeypatch):
+    """A task that receives a key very often holds few rows at a time."""
+    from loomtext.llm import packed
+
+    seen = []
+
+    def fold(key, columns):
+        seen.append(len(key))
+        key, at = np.unique(key, return_inverse=True)
+        return key, [np.bincount(at, columns[0]).astype(np.int64)]
+
+    key = np.arange(100, dtype=np.uint64) << np.uint64(50)
+    monkeypatch.setattr(packed, "FLUSH_ROWS", 100)
+    monkeypatch.setattr(packed, "FOLD_ROWS", 250)
+    sent = pa.Table.from_batches(list(packed.sent(((key, [np.ones(100, np.int64)]) for _ in range(50)), 1))).to_batches()
+
+    class Sent:
+        """Stands for the table of blocks, so that the receiving function runs here."""
+
+        sparkSession = spark
+
+        def repartitionById(self, *_):  # noqa: N802
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return list(run(iter(sent)))
+
+    (got,) = packed.received(Sent(), lambda part, k, c: iter([(k, c)]), "x int", 1, fold)
+    totals = fold(got[0], got[1])[1][0]
+    assert set(totals) == {50} and max(seen) <= 500
