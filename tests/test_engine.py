@@ -402,3 +402,12 @@ def test_small_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\ny")
     assert web.read_files(spark, str(tmp_path)).first().body == "x\ny"
     assert documents.token_counter("/opt/tokenizers/byte_bpe_50k.tiktoken")("hello world") == 2
+
+
+def test_fixed_chunks_in_a_fence_gain_no_line():
+    """A fence that is cut leaves both chunks as they are, whether or not a line's end would still fit the first."""
+    for width in range(1, 9):
+        text = f"{'x' * width}\n{FENCE}python\n# one\nprint(1)\nprint(22)\n{FENCE}\nlast"
+        plain = chunking.split(text, "fixed", 6, 0, keep_code=False)
+        assert chunking.split(text, "fixed", 6, 0) == plain
+        assert "\n".join(plain) == text
